@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .language_id import identify_language, learn_profiles
+from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
+from .quality import classify_quality, train_quality
 from .url_filter import rules_frame, url_filter
 
 #: The rules that op7 applies: verdict, host, path.
@@ -25,6 +29,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(_table(spark, sf_dir, "documents")), "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify_language(docs, learn_profiles(docs))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -38,8 +55,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classify_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mixing": op6_mixing, "op7_url_filter": op7_url_filter, "op8_exact_dedup": op8_exact_dedup}
+    found = (op2_decontaminate, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op10_quality)
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = r"""
