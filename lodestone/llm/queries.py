@@ -13,6 +13,7 @@ from .language_id import identify_language, learn_profiles
 from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
 from .quality import classify_quality, train_quality
+from .suffix_dedup import substring_dedup
 from .url_filter import rules_frame, url_filter
 
 #: The rules that op7 applies: verdict, host, path.
@@ -33,6 +34,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_table(spark, sf_dir, "documents")), "doc_id")
 
@@ -61,10 +66,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontaminate, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op10_quality)
+    found = (op2_decontaminate, op3_suffix_dedup, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)
+), m AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER o + 50 OR lag(i) OVER o IS NULL THEN 1 ELSE 0 END AS new
+  FROM w JOIN m USING (s) WHERE doc_id > least WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM c
+), r AS (
+  SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r
+), x AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -125,4 +155,4 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
