@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .quality import classify_quality, train_quality
 from .suffix_dedup import substring_dedup
 from .url_filter import rules_frame, url_filter
+from .window_index import window_dedup
 
 #: The rules that op7 applies: verdict, host, path.
 URL_RULES = [
@@ -60,13 +61,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return classify_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontaminate, op3_suffix_dedup, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op10_quality)
+    found = (op2_decontaminate, op3_suffix_dedup, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op9_window_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
@@ -154,5 +159,28 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)
+), m AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w JOIN m USING (s) WHERE doc_id > least
+), x AS (
+  SELECT doc_id, list(i) AS gone, count(*) AS n_removed FROM c GROUP BY doc_id
+), k AS (
+  SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d JOIN x USING (doc_id))
+  ANTI JOIN c USING (doc_id, i)
+), y AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(CASE WHEN n_removed IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_window_dedup": OP9_SQL}
