@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .language_id import identify_language, learn_profiles
 from .license_scan import license_digest, scan_licenses
 from .mixing import mix_sources
@@ -31,6 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,10 +76,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_decontaminate, op3_suffix_dedup, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op9_window_dedup, op10_quality)
+    found = (op1_jaccard_join, op2_decontaminate, op3_suffix_dedup, op4_license_scan, op5_language_id, op6_mixing, op7_url_filter, op8_exact_dedup, op9_window_dedup, op10_quality)
     return {f.__name__: f for f in found}
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM i JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)
+), r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reach = l.x
+)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
@@ -183,4 +207,4 @@ FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_window_dedup": OP9_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_window_dedup": OP9_SQL}
