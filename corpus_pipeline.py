@@ -1,17 +1,65 @@
-"""The corpus pipeline: stages from raw documents to a mix."""
+"""The corpus pipeline: from raw documents to a mix of clean, distinct ones.
+
+Each stage takes what the one before it kept and returns the columns of
+``documents``; the last returns the mix: how often each document is taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.decontaminate import drop_contaminated
+from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.mixing import mix_sources
+from lodestone.llm.quality import quality_score, train_quality
+from lodestone.llm.shared import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more; it is fitted on labelled rows of ``docs``."""
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_score(model, F.col("text")) >= 0.3)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, but for the case of A-Z, the one with the smallest id."""
+    return exact_dedup(docs, carry=docs.columns).where("kept").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at 0.8 or more, the one with the smallest id."""
+    groups = jaccard_components(docs)
+    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item, up to one edit in ten bytes."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document enters a mix of 150% of the words, by source weight."""
+    return mix_sources(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+
 
-from lodestone.llm import queries as _queries  # noqa: F401
+STAGES = [
+    ("quality", quality),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("decontamination", decontaminate),
+    ("mix", mix),
+]
 
-STAGES: list = []
+#: A fitted classifier and alignment are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
