@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import Slice, run_bounds, slices
+from .grid import Slice, run_bounds, slices, trim
 from .shared import partitions
 
 #: Fingerprints that a task gathers before it sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Buckets for each shuffle partition, so that buckets even out.
-BUCKETS_A_PARTITION = 8
+BUCKETS_A_PARTITION = 4
 #: In place of a document: several have it, and they know.
 SEVERAL = -1
 
@@ -30,6 +30,29 @@ RUN_SCHEMA = "part int, id long, keys binary, docs binary"
 Fingerprinter = Callable[[Slice], tuple[np.ndarray, np.ndarray]]
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Integers as what they exceed their least by, in as few bytes each as that needs."""
+    x = x.astype(np.int64)
+    base = int(x.min()) if len(x) else 0
+    kind = np.min_scalar_type(int(x.max()) - base) if len(x) else np.dtype(np.uint8)
+    return base.to_bytes(8, "little", signed=True) + bytes([kind.itemsize]) + (x - base).astype(kind).tobytes()
+
+
+def unpack(raw: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The n integers that :func:`pack` put first in ``raw``, and the bytes they took."""
+    base, size = int.from_bytes(raw[:8], "little", signed=True), raw[8]
+    return np.frombuffer(raw, f"<u{size}", n, 9).astype(np.int64) + base, 9 + size * n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted numbers by byte, the highest first: the high ones come in runs, which shuffles compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T[::-1]).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1)[::-1].T).view("<u4").ravel()
+
+
 def bucket_count(df: DataFrame) -> int:
     return BUCKETS_A_PARTITION * partitions(df.sparkSession)
 
@@ -88,7 +111,7 @@ def run_rows(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
     bounds = run_bounds(part)
     low = key.astype(np.uint32)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        yield int(part[lo]), None, low[lo:hi].tobytes(), ids[lo:hi].astype(np.int64).tobytes()
+        yield int(part[lo]), None, _planes(low[lo:hi]), pack(ids[lo:hi])
 
 
 def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter) -> DataFrame:
@@ -115,6 +138,7 @@ def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter) -> DataFrame:
                     ids, fps, size = [], [], 0
         if size:
             yield from _in_batches(_flush(np.concatenate(ids), np.concatenate(fps), buckets))
+        trim()
 
     return docs.where(F.col("_id").isNotNull()).select("_id", "_text").mapInArrow(tell, RUN_SCHEMA)
 
@@ -134,8 +158,8 @@ def merge_rows(rows: DataFrame, keep_runs: bool = False) -> DataFrame:
                 out.append((p, i, k, None))
                 continue
             part = p
-            keys.append(np.frombuffer(k, np.uint32))
-            docs.append(np.frombuffer(d, np.int64))
+            keys.append(_from_planes(k))
+            docs.append(unpack(d, len(keys[-1]))[0])
         if keys:
             key, ids = np.concatenate(keys), np.concatenate(docs)
             order = np.lexsort((ids, key))

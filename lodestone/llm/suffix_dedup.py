@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -10,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprints import RUN_SCHEMA, bucket_count, is_key, joined_keys, keyed, run_bounds, shared_fingerprints, window_minimizers
-from .grid import Slice, grams_hash, mix, slices
-from .shared import written
+from .fingerprints import RUN_SCHEMA, _in_batches, bucket_count, is_key, joined_keys, keyed, pack, run_bounds, shared_fingerprints, unpack, window_minimizers
+from .grid import Slice, grams_hash, mix, slices, trim
 
 #: Length of the repeated byte strings.
 LENGTH = 50
@@ -21,7 +21,7 @@ GRAM = 20
 #: Bytes of columns that a bucket keeps in memory; more go to a sequential temporary file.
 IN_MEMORY = 64 << 20
 #: Spans that a task gathers before it sends them.
-FLUSH = 1 << 18
+FLUSH = 1 << 19
 
 
 def _anchors(s: Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +109,12 @@ def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], start[first], start[last]
 
 
-def range_rows(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
-    """A row (part, id, keys) for each document: pairs of first and last starts, in order of document."""
+def range_rows(doc: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int = 1) -> Iterator[tuple]:
+    """A row of RUN_SCHEMA for each document, spread over buckets: pairs of first and last starts. ``doc`` is in order."""
     bounds = run_bounds(doc)
     pairs = np.stack([first, last], 1).astype(np.int64)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        yield 0, int(doc[lo]), pairs[lo:hi].tobytes(), None
+        yield int(doc[lo]) % buckets, int(doc[lo]), pairs[lo:hi].tobytes(), None
 
 
 def repeated_strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +145,6 @@ def repeated_strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.
     return _ranges(np.concatenate(docs), np.concatenate(starts))
 
 
-SPAN_SCHEMA = RUN_SCHEMA
-
-
 def _spans(s: Slice, keys: list[np.ndarray], buckets: int, length: int, gram: int) -> dict[str, np.ndarray]:
     """Spans of text around the anchors that are shared: key, document, anchor place, first and last column of starts, text."""
     reach = length - gram
@@ -168,7 +165,7 @@ def _spans(s: Slice, keys: list[np.ndarray], buckets: int, length: int, gram: in
     return {"key": key[first], "doc": doc[first], "at": place[first] - s.offs[doc[first]], "low": low.astype(np.uint8), "high": high.astype(np.uint8), "text": text}
 
 
-def _span_rows(part: dict[str, np.ndarray], length: int) -> Iterator[tuple]:
+def _span_rows(part: dict[str, np.ndarray], length: int, buckets: int) -> Iterator[tuple]:
     """Rows of one task's spans: settled copies as ranges, the rest by bucket."""
     # Of equal spans only that of the smallest document is sent; the others are repeats of it.
     n, width = part["text"].shape
@@ -188,23 +185,20 @@ def _span_rows(part: dict[str, np.ndarray], length: int) -> Iterator[tuple]:
     first = part["at"][gone] + part["low"][gone].astype(np.int64) - (width - length)
     last = first + (part["high"][gone].astype(np.int64) - part["low"][gone])
     by = np.lexsort((first, part["doc"][gone]))
-    yield from range_rows(part["doc"][gone][by], first[by], last[by])
+    yield from range_rows(part["doc"][gone][by], first[by], last[by], buckets)
     sent = order[~repeat]
     sent = sent[np.argsort(part["key"][sent], kind="stable")]
     bucket = (part["key"][sent] >> np.uint64(32)).astype(np.int64)
     bounds = run_bounds(bucket)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         mine = sent[lo:hi]
-        meta = np.stack([part["doc"][mine], part["at"][mine], part["low"][mine].astype(np.int64), part["high"][mine].astype(np.int64)])
-        yield int(bucket[lo]), None, part["text"][mine].tobytes(), meta.astype(np.int64).tobytes()
+        yield int(bucket[lo]), None, part["text"][mine].tobytes(), b"".join(pack(part[k][mine]) for k in ("doc", "at", "low", "high"))
 
 
 def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """``_gone long, _ranges array<binary>``: starts of removed strings of each document.
 
     ``candidates``: ``_id, _text, _keys`` of the documents that share anchors."""
-    from .fingerprints import _in_batches
-
     reach, width = length - gram, 2 * length - gram
 
     def tell(batches):
@@ -221,25 +215,35 @@ def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int)
                 held.append(part)
                 size += len(part["doc"])
                 if size >= FLUSH:
-                    yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length))
+                    yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length, buckets))
                     held, size = [], 0
         if size:
-            yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length))
+            yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length, buckets))
+        trim()
 
     def settle(table: pa.Table) -> pa.Table:
-        text, meta = [], []
-        for k, d in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist(), strict=True):
+        """Settled ranges pass; the spans of the bucket are sorted."""
+        text, meta, out = [], [], []
+        for i, k, d in zip(*(table.column(c).to_pylist() for c in ("id", "keys", "docs")), strict=True):
+            if i is not None:
+                out.append((i, k))
+                continue
             text.append(np.frombuffer(k, np.uint8).reshape(-1, width))
-            meta.append(np.frombuffer(d, np.int64).reshape(4, -1))
-        doc, at, low, high = np.concatenate(meta, 1)
-        ranges = repeated_strings(np.concatenate(text), doc, at, low, high, length, reach)
-        rows = [(i, k) for _, i, k, _ in range_rows(*ranges)]
-        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary())})
-
-    rows = written(candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA), "spans")
-    settled = rows.where("id is null").groupBy("part").applyInArrow(settle, "id long, keys binary")
-    both = rows.where("id is not null").select("id", "keys").unionByName(settled)
-    return both.groupBy(F.col("id").alias("_gone")).agg(F.collect_list("keys").alias("_ranges"))
+            cols, at = [], 0
+            for _ in range(4):
+                col, used = unpack(d[at:], len(text[-1]))
+                cols.append(col)
+                at += used
+            meta.append(np.stack(cols))
+        if text:
+            doc, at, low, high = np.concatenate(meta, 1)
+            ranges = repeated_strings(np.concatenate(text), doc, at, low, high, length, reach)
+            out.extend((i, k) for _, i, k, _ in range_rows(*ranges))
+        return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
+
+    rows = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
+    settled = rows.groupBy("part").applyInArrow(settle, "id long, keys binary")
+    return settled.groupBy(F.col("id").alias("_gone")).agg(F.collect_list("keys").alias("_ranges"))
 
 
 def covered(ranges: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +268,8 @@ def cut_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
         return doc[new], h[new]
 
-    hits = shared_fingerprints(docs, anchors)
-    candidates = written(docs.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys"), "candidates")
+    # Both joins take the texts from one shuffle by identifier.
+    candidates = docs.join(shared_fingerprints(docs, anchors), F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
     gone = removed_ranges(candidates, length, gram, buckets)
 
     @F.arrow_udf("struct<starts: array<long>, ends: array<long>>")
@@ -274,7 +278,7 @@ def cut_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         kind = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array(starts, kind), pa.array(ends, kind)], ["starts", "ends"])
 
-    return candidates.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r")).select("_id", "_text", F.col("_r.starts").alias("_starts"), F.col("_r.ends").alias("_ends"))
+    return docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r")).select("_id", "_text", F.col("_r.starts").alias("_starts"), F.col("_r.ends").alias("_ends"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -301,10 +305,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
     facts = rows.select("_key", "_id", F.octet_length("_text").cast("long").alias("_n"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
 
-    @F.arrow_udf("struct<n: long, spans: long, sha: string>")
+    @F.arrow_udf("struct<n: long, spans: long, whole: string, sha: string>")
     def digest(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        import hashlib
-
         out = []
         for t, a, b in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
             raw, at, h, n = t.encode(), 0, hashlib.sha256(), 0
@@ -313,11 +315,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n += hi - lo
                 at = hi
             h.update(raw[at:])
-            out.append({"n": n, "spans": len(a), "sha": h.hexdigest()})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("spans", pa.int64()), ("sha", pa.string())]))
+            out.append({"n": n, "spans": len(a), "whole": hashlib.sha256(raw).hexdigest(), "sha": h.hexdigest()})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("spans", pa.int64()), ("whole", pa.string()), ("sha", pa.string())]))
 
-    cut = cut_text(rows.select("_id", "_text"), length, gram)
-    cut = cut.select(F.col("_id").alias("_cid"), F.sha2(F.col("_text").cast("binary"), 256).alias("_csha"), digest("_text", "_starts", "_ends").alias("_d")).dropDuplicates(["_cid", "_csha"])
+    cut = cut_text(rows.where("_id is not null").select("_id", "_text"), length, gram)
+    cut = cut.select(F.col("_id").alias("_cid"), digest("_text", "_starts", "_ends").alias("_d"))
+    cut = cut.select("_cid", "_d", F.col("_d.whole").alias("_csha")).dropDuplicates(["_cid", "_csha"])
     out = facts.join(cut, (F.col("_id") == F.col("_cid")) & (F.col("_sha") == F.col("_csha")), "left")
     return out.select(
         F.col("_key").alias(id_col),
