@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fingerprints import RUN_SCHEMA, _in_batches, bucket_count, fingerprint_rows, hits_by_document, is_key, joined_keys, keyed, merge_rows, run_bounds, window_minimizers
-from .grid import Slice, grams_hash, mix, slices
+from .fingerprints import RUN_SCHEMA, _in_batches, bucket_count, fingerprint_rows, hits_by_document, is_key, joined_keys, keyed, merge_rows, pack, run_bounds, unpack, window_minimizers
+from .grid import Slice, grams_hash, mix, slices, trim
 from .shared import drop_path, new_path, written
 from .suffix_dedup import _ranges, covered, range_rows
 
@@ -23,7 +23,7 @@ FANOUT = 3
 #: Batches in which a whole table is indexed.
 BATCHES = 3
 #: Windows that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 
 def _windows(s: Slice, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -102,7 +102,9 @@ class WindowIndex:
         ``docs`` holds all indexed documents that may share windows: a batch with
         its history."""
         hits = hits_by_document(reduce(DataFrame.union, self.hits))
-        found = written(docs.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys"), "candidates")
+        # Both joins take the texts from one shuffle by identifier.
+        docs = docs.where("_id is not null").select("_id", "_text")
+        found = docs.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
         gone = removed_windows(found, self.length, self.gram)
         length = self.length
 
@@ -112,7 +114,7 @@ class WindowIndex:
             kind = pa.list_(pa.int64())
             return pa.StructArray.from_arrays([pa.array(starts, kind), pa.array(ends, kind)], ["starts", "ends"])
 
-        both = found.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r"))
+        both = docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r"))
         return both.select("_id", "_text", F.col("_r.starts").alias("_starts"), F.col("_r.ends").alias("_ends"))
 
     def drop(self) -> None:
@@ -121,7 +123,7 @@ class WindowIndex:
         self.runs, self.hits = [], []
 
 
-def _window_rows(w: dict[str, np.ndarray]) -> Iterator[tuple]:
+def _window_rows(w: dict[str, np.ndarray], buckets: int) -> Iterator[tuple]:
     """Rows of one task's windows: settled copies as ranges, the rest by bucket."""
     order = np.lexsort((w["doc"], w["b"], w["a"]))
     a, b, doc, at, part = (w[k][order] for k in ("a", "b", "doc", "at", "part"))
@@ -129,13 +131,13 @@ def _window_rows(w: dict[str, np.ndarray]) -> Iterator[tuple]:
     same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
     repeat = doc > doc[head]
-    yield from range_rows(*_ranges(doc[repeat], at[repeat]))
+    yield from range_rows(*_ranges(doc[repeat], at[repeat]), buckets)
     sent = np.flatnonzero(~repeat)
     sent = sent[np.argsort(part[sent], kind="stable")]
     bounds = run_bounds(part[sent])
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         mine = sent[lo:hi]
-        yield int(part[mine[0]]), None, np.stack([a[mine], b[mine]]).tobytes(), np.stack([doc[mine], at[mine]]).astype(np.int64).tobytes()
+        yield int(part[mine[0]]), None, np.stack([a[mine], b[mine]]).tobytes(), pack(doc[mine]) + pack(at[mine])
 
 
 def removed_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
@@ -163,27 +165,41 @@ def removed_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                 })
                 size += len(nth)
                 if size >= FLUSH:
-                    yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}))
+                    yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}, buckets))
                     held, size = [], 0
         if size:
-            yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}))
+            yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}, buckets))
+        trim()
 
     def settle(table: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.frombuffer(k, np.uint64).reshape(2, -1) for k in table.column("keys").to_pylist()], 1)
-        doc, at = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in table.column("docs").to_pylist()], 1)
-        order = np.lexsort((hashes[1], hashes[0]))
-        (a, b), doc, at = hashes[:, order], doc[order], at[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        gone = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
-        rows = [(i, k) for _, i, k, _ in range_rows(*_ranges(doc[gone], at[gone]))]
-        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary())})
-
-    rows = written(candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA), "windows")
-    settled = rows.where("id is null").groupBy("part").applyInArrow(settle, "id long, keys binary")
-    both = rows.where("id is not null").select("id", "keys").unionByName(settled)
-    return both.groupBy(F.col("id").alias("_gone")).agg(F.collect_list("keys").alias("_ranges"))
+        """Settled ranges pass; the windows of the bucket are compared."""
+        parts, docs, ats, out = [], [], [], []
+        for i, k, d in zip(*(table.column(c).to_pylist() for c in ("id", "keys", "docs")), strict=True):
+            if i is not None:
+                out.append((i, k))
+                continue
+            parts.append(np.frombuffer(k, np.uint64).reshape(2, -1))
+            doc, used = unpack(d, parts[-1].shape[1])
+            docs.append(doc)
+            ats.append(unpack(d[used:], len(doc))[0])
+        if parts:
+            out.extend((i, k) for _, i, k, _ in range_rows(*_repeats(np.concatenate(parts, 1), np.concatenate(docs), np.concatenate(ats))))
+        return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
+
+    rows = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
+    settled = rows.groupBy("part").applyInArrow(settle, "id long, keys binary")
+    return settled.groupBy(F.col("id").alias("_gone")).agg(F.collect_list("keys").alias("_ranges"))
+
+
+def _repeats(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the windows, of two hashes each, that a smaller document has too."""
+    order = np.lexsort((hashes[1], hashes[0]))
+    (a, b), doc, at = hashes[:, order], doc[order], at[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    gone = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
+    return _ranges(doc[gone], at[gone])
 
 
 def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
