@@ -29,8 +29,9 @@ def postings(chunks: DataFrame) -> DataFrame:
     Write it clustered by term (:func:`write_postings`) to search without tokenising."""
     rows = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("chunk_content")).alias("_c"), tokens(F.col("file_path")).alias("_p"))
     rows = rows.withColumn("dl", F.size("_c") + F.size("_p"))
-    parts = [rows.select("chunk_id", F.lit(i).alias("col"), F.posexplode(c).alias("pos", "term"), "dl") for i, c in enumerate(("_c", "_p"))]
-    return parts[0].unionByName(parts[1])
+    numbered = lambda tokens, col: F.transform(tokens, lambda t, i: F.struct(F.lit(col).alias("col"), i.alias("pos"), t.alias("term")))
+    both = rows.select("chunk_id", "dl", F.explode(F.concat(numbered("_c", 0), numbered("_p", 1))).alias("_t"))
+    return both.select("chunk_id", "_t.col", "_t.pos", "_t.term", "dl")
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
@@ -59,10 +60,8 @@ def phrase_hits(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """``chunk_id, phrase, hits, dl``: places where a phrase's tokens stand next to each other."""
     wanted = terms.select("phrase", "off", "term", "len").distinct()
     met = index.join(F.broadcast(wanted) if small else wanted, "term")
-    single = met.where("len = 1").groupBy("chunk_id", "phrase").agg(F.count(F.lit(1)).alias("hits"), F.max("dl").alias("dl"))
-    starts = met.where("len > 1").groupBy("chunk_id", "phrase", "col", (F.col("pos") - F.col("off")).alias("start")).agg(F.countDistinct("off").alias("n"), F.max("len").alias("len"), F.max("dl").alias("dl"))
-    longer = starts.where("n = len").groupBy("chunk_id", "phrase").agg(F.count(F.lit(1)).alias("hits"), F.max("dl").alias("dl"))
-    return single.unionByName(longer)
+    starts = met.groupBy("chunk_id", "phrase", "col", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("dl").alias("dl"))
+    return starts.where("n = len").groupBy("chunk_id", "phrase").agg(F.count(F.lit(1)).alias("hits"), F.max("dl").alias("dl"))
 
 
 def fts_match(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None) -> DataFrame:

@@ -379,6 +379,13 @@ def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("chunks").drop("indexed_at")
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the corpus as an index stores them: searches read them, and don't cut texts again."""
+    path = _scratch(spark)
+    chunk_documents(corpus(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
     top = _scratch(spark)
     engine = Engine(spark, top, dim=DIM, now=lambda: NOW)
@@ -491,7 +498,7 @@ BM25 = f"WITH RECURSIVE {CHUNKS}, {_BM25}"
 
 @query(f"{BM25} SELECT query_id, id AS chunk_id FROM bm")
 def fts_match_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts_match(chunk_documents(corpus(spark, sf_dir)), QUERIES)
+    return fts_match(stored_chunks(spark, sf_dir), QUERIES)
 
 
 _queries["fts_match"], _sql["fts_match"] = _queries.pop("fts_match_"), _sql.pop("fts_match_")
@@ -501,7 +508,7 @@ _queries["fts_match"], _sql["fts_match"] = _queries.pop("fts_match_"), _sql.pop(
 SELECT query_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50""")
 def bm25_topk_(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Scores that differ in the last bits only may swap ids; rank and score can't.
-    return bm25_topk(chunk_documents(corpus(spark, sf_dir)), QUERIES, 50).select("query_id", "rank", F.round("score", 6).alias("score"))
+    return bm25_topk(stored_chunks(spark, sf_dir), QUERIES, 50).select("query_id", "rank", F.round("score", 6).alias("score"))
 
 
 _queries["bm25_topk"], _sql["bm25_topk"] = _queries.pop("bm25_topk_"), _sql.pop("bm25_topk_")
@@ -513,7 +520,7 @@ _BOOSTS = ", ".join(f"('{q}', '{b}')" if (b := hybrid.boost_term(t)) else f"('{q
 SELECT query_id, id AS chunk_id, round(CASE WHEN strpos(lower(file_path), term) > 0 THEN least(1, 1.5 * (1 / (1 - score))) ELSE 1 / (1 - score) END, 6) AS boosted
 FROM bm JOIN boosts USING (query_id) JOIN chunks USING (id)""")
 def filename_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_documents(corpus(spark, sf_dir))
+    chunks = stored_chunks(spark, sf_dir)
     terms = spark.createDataFrame([(q, hybrid.boost_term(t)) for q, t in QUERIES], "query_id string, term string")
     found = bm25(chunks, QUERIES).join(chunks.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").join(F.broadcast(terms), "query_id")
     return found.select("query_id", "chunk_id", F.round(hybrid.filename_boost(F.col("file_path"), F.col("term"), 1 / (1 - F.col("score"))), 6).alias("boosted"))
@@ -544,7 +551,7 @@ sc AS (
 
 
 def _search(spark: SparkSession, sf_dir: str, orientation: str) -> DataFrame:
-    chunks = chunk_documents(corpus(spark, sf_dir))
+    chunks = stored_chunks(spark, sf_dir)
     vectors = chunks.select(F.col("id").alias("chunk_id"), hashing_embedding(F.col("chunk_content"), DIM).alias("embedding"))
     return hybrid.hybrid_search(chunks, vectors, QUERIES, [(q, hash_embed(t, DIM)) for q, t in QUERIES], orientation=orientation)
 
