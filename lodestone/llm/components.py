@@ -36,3 +36,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(facts) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = tuple(facts)
+

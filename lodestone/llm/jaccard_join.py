@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .fingerprints import bucket_count, is_key, joined_keys, keyed, run_bounds, shared_fingerprints
-from .grid import Slice, grams_hash, mix, slices
+from .grid import Slice, grams_hash, mix, slices, trim
 from .shared import written
 
 #: Words in an n-gram, and the least similarity in percent.
@@ -19,10 +19,12 @@ N, PERCENT = 5, 80
 #: Hash buckets in which n-grams are counted over all documents; their counts (8 bytes each) are what the driver and the tasks hold.
 COUNTERS = 1 << 20
 _BLOCKS = 16
-#: Ranges of the hash in which the grams of a set are counted, for the suffix filter.
-RANGES = 16
+#: Bytes of a set's parity bits, for the suffix filter.
+PARITY = 32
+#: Rounds in which entries meet one pivot before all pairs across components do, and pivots of an n-gram in a round.
+ROUNDS, PIVOTS = 4, 8
 #: Entries that a task gathers before it sends them.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 
 
 def shingles(s: Slice, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,7 @@ def set_facts(docs: DataFrame, n: int) -> DataFrame:
             blocks = [x.astype(np.int64).tobytes() if narrow.dtype == np.int64 else bytes([narrow.itemsize]) + x.tobytes() for x in np.split(narrow, _BLOCKS)]
             none = pa.nulls(_BLOCKS).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["id", "n", "s1", "s2", "block", "counts"])
+        trim()
 
     return docs.select("_id", "_text").mapInArrow(tell, "id long, n long, s1 long, s2 long, block int, counts binary")
 
@@ -128,46 +131,63 @@ def _passes(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int
     """Length, positional and suffix filter of entries i and j of one n-gram.
 
     A pair that reaches the similarity passes at the first n-gram that both
-    prefixes have: what can still follow in both sets, and the least difference
-    of what lies in each range of the hash, leave it enough in common."""
+    prefixes have: what can still follow in both sets is enough, and so is what
+    the parities leave. Each n-gram flips one of a set's parity bits, so bits
+    that differ are n-grams that only one of the sets has."""
     ni, nj = x["n"][i], x["n"][j]
     least = _least_overlap(ni, nj, percent)
     ok = 100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)
     ok &= 1 + np.minimum(ni - x["at"][i], nj - x["at"][j]) - 1 >= least
-    apart = np.abs(x["ranges"][i].astype(np.int16) - x["ranges"][j]).sum(1)
-    return ok & (apart <= ni + nj - 2 * least)
+    at = np.flatnonzero(ok)
+    parity = x["parity"]
+    apart = np.bitwise_count(parity[i[at]] ^ parity[j[at]]).sum(1, dtype=np.int64)
+    ok[at] = apart <= (ni + nj - 2 * least)[at]
+    return ok
 
 
 def _entries(table: pa.Table) -> dict[str, np.ndarray]:
     """The entries of a bucket, by n-gram, then size, then document."""
-    keys, meta, ranges = [], [], []
+    keys, meta, parity = [], [], []
     for k, d in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist(), strict=True):
         key = np.frombuffer(k, np.uint32)
         m = len(key)
         keys.append(key)
         meta.append(np.frombuffer(d, np.int64, 4 * m).reshape(4, m))
-        ranges.append(np.frombuffer(d, np.uint8, RANGES * m, 32 * m).reshape(m, RANGES))
+        parity.append(np.frombuffer(d, np.uint64, PARITY // 8 * m, 32 * m).reshape(m, PARITY // 8))
     key = np.concatenate(keys)
     doc, n, at, comp = np.concatenate(meta, 1)
     order = np.lexsort((doc, n, key))
-    return {"key": key[order], "doc": doc[order], "n": n[order], "at": at[order], "comp": comp[order], "ranges": np.concatenate(ranges)[order]}
+    return {"key": key[order], "doc": doc[order], "n": n[order], "at": at[order], "comp": comp[order], "parity": np.concatenate(parity)[order]}
 
 
-def _pivots(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the one it is compared with first: the smallest set of its n-gram that is large enough for it."""
-    bounds = run_bounds(x["key"])
-    head = np.repeat(bounds[:-1], np.diff(bounds))
-    while True:
-        far = percent * x["n"] > 100 * x["n"][head]
-        if not far.any():
+def _pivots(x: dict[str, np.ndarray], percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries with the pivot of their n-gram: one of its largest component, drawn by a hash
+    of document and turn. Entries that can't be similar to it get a pivot among themselves, and so on."""
+    draw = mix(x["doc"].astype(np.uint64) * np.uint64(2) + (mix(np.array([turn], np.uint64)) | np.uint64(1)))
+    live = np.arange(len(draw))
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _ in range(PIVOTS):
+        live = live[np.lexsort((draw[live], x["comp"][live], x["key"][live]))]
+        key, comp = x["key"][live], x["comp"][live]
+        group = run_bounds(key)
+        new = np.ones(len(live), bool)
+        new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(live)))
+        # The largest run of each group, the first of equals.
+        number = (np.cumsum(new) - 1)[group[:-1]]
+        most = np.repeat(np.maximum.reduceat(size, number), np.diff(np.append(number, len(size))))
+        at = np.where(size == most, np.arange(len(size)), len(size))
+        pivot = np.repeat(live[head[np.minimum.reduceat(at, number)]], np.diff(group))
+        apart = x["comp"][live] != x["comp"][pivot]
+        live, pivot = live[apart], pivot[apart]
+        ok = _passes(x, live, pivot, percent)
+        out_i.append(live[ok])
+        out_j.append(pivot[ok])
+        live = live[~ok]
+        if not len(live):
             break
-        # The first that is too large for its head leads those that follow it.
-        at = np.where(far, np.arange(len(head)), len(head))
-        lead = np.full(len(head) + 1, len(head))
-        np.minimum.at(lead, head, at)
-        head = np.where(far, lead[head], head)
-    i = np.flatnonzero(x["doc"] != x["doc"][head])
-    return i, head[i]
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _mixed(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,49 +211,45 @@ def _mixed(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def candidate_pairs(sets: DataFrame, percent: int, buckets: int, all_pairs: bool) -> DataFrame:
+def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFrame:
     """``x, y, shared``: pairs of documents that meet in an n-gram of both prefixes and pass the filters.
 
-    ``sets``: id, n, tokens, places, ranges, comp. Without ``all_pairs`` each
-    entry meets only the pivot of its n-gram, so pairs grow with the entries,
-    not their square; with it, the entries of other components."""
+    ``sets``: id, n, tokens, places, parity, comp. In a ``turn`` each entry meets
+    only a pivot of its n-gram, so pairs grow with the entries, not their
+    square; with None, the entries of other components."""
 
     def tell(batches):
         from .fingerprints import _in_batches
 
         def rows(held: list[tuple]) -> Iterator[tuple]:
-            key, doc, n, at, comp, ranges = (np.concatenate([h[i] for h in held]) for i in range(6))
+            key, doc, n, at, comp, parity = (np.concatenate([h[i] for h in held]) for i in range(6))
             order = np.argsort(key, kind="stable")
             part = (key[order] >> np.uint64(32)).astype(np.int64)
             bounds = run_bounds(part)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 mine = order[lo:hi]
                 meta = np.stack([doc[mine], n[mine], at[mine], comp[mine]]).astype(np.int64)
-                yield int(part[lo]), None, key[mine].astype(np.uint32).tobytes(), meta.tobytes() + ranges[mine].tobytes()
+                yield int(part[lo]), None, key[mine].astype(np.uint32).tobytes(), meta.tobytes() + parity[mine].tobytes()
 
         held, size = [], 0
         for b in batches:
-            for i, n, tokens, places, ranges, comp in zip(*(b.column(c).to_pylist() for c in ("id", "n", "tokens", "places", "ranges", "comp")), strict=True):
+            for i, n, tokens, places, parity, comp in zip(*(b.column(c).to_pylist() for c in ("id", "n", "tokens", "places", "parity", "comp")), strict=True):
                 key = np.frombuffer(tokens, np.uint64)
                 m = len(key)
-                held.append((key, np.full(m, i), np.full(m, n), np.frombuffer(places, np.int32), np.full(m, comp), np.tile(np.frombuffer(ranges, np.uint8), (m, 1))))
+                held.append((key, np.full(m, i), np.full(m, n), np.frombuffer(places, np.int32), np.full(m, comp), np.tile(np.frombuffer(parity, np.uint8), (m, 1))))
                 size += m
                 if size >= FLUSH:
                     yield from _in_batches(rows(held))
                     held, size = [], 0
         if size:
             yield from _in_batches(rows(held))
+        trim()
 
     def meet(table: pa.Table) -> pa.Table:
         x = _entries(table)
-        if all_pairs:
-            i, j = _mixed(x, percent)
-        else:
-            i, j = _pivots(x, percent)
-            ok = _passes(x, i, j, percent)
-            i, j = i[ok], j[ok]
+        i, j = _mixed(x, percent) if turn is None else _pivots(x, percent, turn)
         a, b = x["doc"][i], x["doc"][j]
-        if all_pairs:
+        if turn is None:
             a, b = np.maximum(a, b), np.minimum(a, b)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -242,13 +258,17 @@ def candidate_pairs(sets: DataFrame, percent: int, buckets: int, all_pairs: bool
         first = np.flatnonzero(new)
         return pa.table({"x": pa.array(a[first]), "y": pa.array(b[first]), "shared": pa.array(np.diff(np.append(first, len(a))).astype(np.int64))})
 
-    rows = sets.select("id", "n", "tokens", "places", "ranges", "comp").mapInArrow(tell, "part int, id long, keys binary, docs binary")
+    rows = sets.select("id", "n", "tokens", "places", "parity", "comp").mapInArrow(tell, "part int, id long, keys binary, docs binary")
     met = rows.groupBy("part").applyInArrow(meet, "x long, y long, shared long")
     return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b``: the pairs ``x, y`` whose sets reach the similarity, each compared once."""
+    """Links ``a, b``: the pairs ``x, y`` whose sets reach the similarity, each compared once.
+
+    Only sets that are in a pair are moved."""
+    used = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    sets = written(sets.select("id", "grams").join(used, "id"), "compared")
 
     def compare(batches):
         for b in batches:
@@ -266,6 +286,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(compare, "a long, b long")
 
 
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, component`` after more links: those of components are joined, not those of their members."""
+    if comp is None:
+        return connected_components(links)
+    for end in ("a", "b"):
+        to = comp.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        links = links.join(to, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    over = connected_components(links)
+    known = comp.unionByName(over.select("node", F.col("node").alias("component")))
+    to = over.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return written(known.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), "components")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Groups of documents linked by sets of word n-grams: 100 |A & B| >= percent |A | B|.
 
@@ -273,9 +306,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are held as 64-bit hashes. Documents of equal sets are one class, by size and
     128-bit signature, and its smallest identifier stands for it. n-grams
     are ordered rare first by counts over all documents, in COUNTERS hash
-    buckets; classes whose prefixes share an n-gram meet there. Each first meets
-    one pivot, the one it shares most n-grams with; the components of these
-    links settle most buckets. Then all pairs that meet in a bucket across
+    buckets; classes whose prefixes share an n-gram meet there. In ROUNDS rounds each
+    meets one pivot, the one it shares most n-grams with; the components of these
+    links settle most n-grams. Then all pairs that meet in an n-gram across
     components, and pass the length, positional and suffix filters, are compared
     once each, so no link between components is lost and no group is expanded.
 
@@ -296,7 +329,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = spark.sparkContext.broadcast(gram_counts(told))
 
     some = facts.where("n > 0 and id is not null")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("class"))
+    classes = written(some.groupBy("n", "s1", "s2").agg(F.min("id").alias("class"), F.max("id").alias("_last")).where("class < _last").drop("_last"), "classes")
+    copies = written(some.join(classes, ["n", "s1", "s2"]).where("id > class").groupBy("id").agg(F.min("class").alias("class")), "copies")
 
     def rare(s: Slice) -> tuple[np.ndarray, np.ndarray]:
         doc, gram, _, _, first = prefixes(s, counts.value, n, percent)
@@ -305,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sets_of(batches):
         for b in batches:
             keys = b.column("_keys")
-            out = {k: [] for k in ("id", "n", "grams", "tokens", "places", "ranges", "comp")}
+            out = {k: [] for k in ("id", "n", "grams", "tokens", "places", "parity", "comp")}
             ids = b.column("_id").to_pylist()
             for s in slices(b.column("_text")):
                 doc, gram, place, _, first = prefixes(s, counts.value, n, percent)
@@ -315,33 +349,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 for i in range(s.n):
                     lo, hi = bounds[i], bounds[i + 1]
                     mine = hit[lo:hi]
-                    spread = np.bincount((gram[lo:hi] >> np.uint64(60)).astype(np.int64), minlength=RANGES)
+                    odd = np.bincount((gram[lo:hi] >> np.uint64(56)).astype(np.int64), minlength=8 * PARITY) & 1
                     out["id"].append(ids[s.first + i])
                     out["n"].append(int(hi - lo))
                     out["grams"].append(np.sort(gram[lo:hi]).tobytes())
                     out["tokens"].append(token[lo:hi][mine].tobytes())
                     out["places"].append(place[lo:hi][mine].astype(np.int32).tobytes())
-                    out["ranges"].append(np.minimum(spread, 255).astype(np.uint8).tobytes())
+                    out["parity"].append(np.packbits(odd.astype(np.uint8)).tobytes())
                     out["comp"].append(ids[s.first + i])
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+        trim()
 
     hits = shared_fingerprints(rows, rare)
-    hits = hits.join(classes.select(F.col("class").alias("_hit")).distinct(), "_hit")
+    hits = hits.join(copies.select(F.col("id").alias("_hit")), "_hit", "left_anti")
     found = rows.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
-    sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, tokens binary, places binary, ranges binary, comp long"), "sets")
-
-    met = candidate_pairs(sets, percent, buckets, all_pairs=False)
-    first = written(met.groupBy("x").agg(F.max_by("y", F.struct("shared", F.negate("y"))).alias("y")), "pivots")
-    links = written(verified(first, sets, percent), "links")
-    comp = connected_components(links)
-    labelled = sets.drop("comp").join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id"))
-    rest = candidate_pairs(labelled, percent, buckets, all_pairs=True)
-    tried = first.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    more = written(verified(rest.select("x", "y").join(tried, ["x", "y"], "left_anti"), sets, percent), "links")
-    comp = connected_components(links.union(more)).select(F.col("node").alias("class"), "component")
-
-    named = facts.join(classes, ["n", "s1", "s2"], "left").join(comp, "class", "left")
+    sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, tokens binary, places binary, parity binary, comp long"), "sets")
+
+    sets_narrow = sets.select("id", "n", "tokens", "places", "parity")
+    comp, tried = None, None
+    for turn in [*range(ROUNDS), None]:
+        labelled = sets_narrow.withColumn("comp", F.col("id"))
+        if comp is not None:
+            labelled = sets_narrow.join(comp, F.col("id") == F.col("node"), "left").select(*sets_narrow.columns, F.coalesce("component", "id").alias("comp"))
+        pairs = candidate_pairs(labelled, percent, turn)
+        if turn is not None:
+            pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("shared", F.negate("y"))).alias("y"))
+        pairs = written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "pairs")
+        fresh = pairs if tried is None else written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+        tried = fresh if tried is None else tried.union(fresh)
+        comp = _joined(comp, written(verified(fresh, sets, percent), "links"))
+    comp = comp.select(F.col("node").alias("class"), "component")
+
+    named = facts.join(copies, "id", "left").withColumn("class", F.coalesce("class", "id")).join(comp, "class", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return named.select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
