@@ -129,10 +129,13 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lid = F.col(f"`{id_col}`")
     rows = docs.select(lid.alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    ranked = rows.select("_id", "_lang", F.md5(F.col("_id").cast("string").cast("binary")).alias("_rank"))
-    by_lang = Window.partitionBy("_lang").orderBy("_rank")
-    chosen = ranked.withColumn("_n", F.row_number().over(by_lang)).where(F.col("_n") <= max_docs).select(F.col("_id").alias("_pick"), F.col("_lang").alias("_of"))
-    sample = rows.join(chosen, (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_of"))).select("_lang", "_text")
+    ranked = rows.withColumn("_rank", F.md5(F.col("_id").cast("string").cast("binary"))).withColumn("_bin", F.substring("_rank", 1, 3))
+    # Counts of 4096 bins of the order tell where the cut lies; only rows up to its bin are ranked.
+    bins = ranked.groupBy("_lang", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_lang").orderBy("_bin")) - F.col("_n")
+    cut = bins.withColumn("_before", before).where(F.col("_before") < max_docs).groupBy(F.col("_lang").alias("_of")).agg(F.max("_bin").alias("_cut"))
+    near = ranked.join(F.broadcast(cut), (F.col("_lang") == F.col("_of")) & (F.col("_bin") <= F.col("_cut")))  # a row a language
+    sample = near.withColumn("_nth", F.row_number().over(Window.partitionBy("_lang").orderBy("_rank", "_text"))).where(F.col("_nth") <= max_docs).select("_lang", "_text")
 
     def counted(batches):
         for b in batches:
