@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .text import tokens
+from .text import token_list, tokens
 
 #: Dimensions of stored vectors by default.
 DIM = 384
@@ -48,12 +48,8 @@ def hashing_embedding(text: Column, dim: int = DIM) -> Column:
 
 def hash_embed(text: str, dim: int = DIM) -> list[float]:
     """The same on the driver, for a query."""
-    import re
-
-    from .text import fold_text
-
     out = np.zeros(dim)
-    for w in re.findall(r"[^\W_]+", fold_text(text)):
+    for w in token_list(text):
         out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1
     norm = float(np.sqrt((out * out).sum()))
     return [float(x) for x in (out / norm if norm else out).astype(np.float32)]

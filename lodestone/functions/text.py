@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -77,6 +78,11 @@ def fold_text(text: str) -> str:
     return text.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
 
 
+def token_list(text: str) -> list[str]:
+    """The tokens of one text, on the driver."""
+    return re.findall("(?:[^\\W_]|[\ue000-\uf8ff])+", fold_text(text))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_text, tokens
+from ..functions.text import token_list, tokens
 
 K1, B = 1.2, 0.75
 #: Weight of a term that at least half of the chunks have.
@@ -19,8 +18,7 @@ BROADCAST_TERMS = 100_000
 
 def phrases(query: str) -> list[list[str]]:
     """The terms of a query, each a phrase of adjacent tokens; terms without tokens vanish."""
-    split = [re.findall(r"[^\W_]+", fold_text(t)) for t in query.split()]
-    return [p for p in split if p]
+    return [p for t in query.split() if (p := token_list(t))]
 
 
 def postings(chunks: DataFrame) -> DataFrame:

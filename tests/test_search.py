@@ -55,7 +55,7 @@ def test_bm25_equals_fts5(spark, tmp_path):
 def test_topk_and_empty(spark):
     top = bm25_topk(chunks(spark), [("q", "user")], 2).orderBy("rank").collect()
     assert [r["rank"] for r in top] == [1, 2] and top[0]["score"] <= top[1]["score"]
-    assert bm25(chunks(spark, [])if False else chunks(spark).where("false"), [("q", "user")]).count() == 0
+    assert bm25(chunks(spark).where("false"), [("q", "user")]).count() == 0
     assert postings(chunks(spark).where("false")).count() == 0
 
 
