@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, partitions, written
+from .shared import ascii_lower, partitions
 
 #: Characters of the content that splitters hold; bounds what sampling sends to the driver.
 SPLITTER_CHARS = 24
@@ -80,18 +80,10 @@ def exact_dedup(
         F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"),
         "_norm",
     )
-    text_kept = [names[text_col]] if text_col in carried else []
-    runs = written(
-        runs.select(
-            *(names[c] for c in carried if c != text_col), *text_kept, "_h", "_salt", "_rank", "_keep", "_size", "_sha",
-            F.when((F.col("_salt") >= 0) & (F.col("_rank") == 1), F.col("_norm")).alias("_head"),
-        ),
-        "content-sort",
-    )
-    # The heads of a hot text's runs, compared in full.
+    # The heads of a hot text's runs, compared in full: only hot rows are sorted for this.
     merged = (
-        runs.where(F.col("_head").isNotNull())
-        .groupBy("_h", "_head")
+        runs.where((F.col("_salt") >= 0) & (F.col("_rank") == 1))
+        .groupBy("_h", "_norm")
         .agg(pick("_keep").alias("_all_keep"), F.sum("_size").alias("_all_size"), F.collect_list(F.struct("_salt", "_sha")).alias("_runs"))
         .select("_h", "_all_keep", "_all_size", F.explode("_runs").alias("_run"))
         .select("_h", F.col("_run._salt").alias("_salt"), F.col("_run._sha").alias("_sha"), "_all_keep", "_all_size", F.lit(True).alias("_hot"))

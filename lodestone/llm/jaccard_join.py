@@ -266,30 +266,30 @@ def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFram
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b``: the pairs ``x, y`` whose sets reach the similarity, each compared once.
 
-    Only sets that are in a pair are moved."""
-    used = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = written(sets.select("id", "grams").join(used, "id"), "compared")
+    A set is moved once for each pair that it is in."""
 
     def compare(batches):
         for b in batches:
             keep = []
-            for p, q in zip(b.column("p"), b.column("q"), strict=True):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                common = int((p[at] == q).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            out = pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+            for x, y, sets in zip(*(b.column(c).to_pylist() for c in ("x", "y", "sets")), strict=True):
+                ours, theirs = ([np.frombuffer(s["grams"], np.uint64) for s in sets if s["id"] == i] for i in (x, y))
+                keep.append(any(_reaches(p, q, percent) for p in ours for q in theirs))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
+
+    ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("id"))
+    both = ends.join(sets.select("id", "grams"), "id").groupBy("x", "y").agg(F.collect_list(F.struct("id", "grams")).alias("sets"))
+    return both.mapInArrow(compare, "a long, b long")
+
 
-    left = sets.select(F.col("id").alias("x"), F.col("grams").alias("p"))
-    right = sets.select(F.col("id").alias("y"), F.col("grams").alias("q"))
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(compare, "a long, b long")
+def _reaches(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+    common = int((p[at] == q).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``node, component`` after more links: those of components are joined, not those of their members."""
-    if comp is None:
-        return connected_components(links)
     for end in ("a", "b"):
         to = comp.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         links = links.join(to, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
@@ -367,18 +367,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, tokens binary, places binary, parity binary, comp long"), "sets")
 
     sets_narrow = sets.select("id", "n", "tokens", "places", "parity")
-    comp, tried = None, None
-    for turn in [*range(ROUNDS), None]:
-        labelled = sets_narrow.withColumn("comp", F.col("id"))
-        if comp is not None:
-            labelled = sets_narrow.join(comp, F.col("id") == F.col("node"), "left").select(*sets_narrow.columns, F.coalesce("component", "id").alias("comp"))
+    comp = spark.createDataFrame([], "node long, component long")
+    tried = spark.createDataFrame([], "x long, y long")
+    turns: list[int | None] = [*range(ROUNDS), None]
+    while turns:
+        turn = turns.pop(0)
+        labelled = sets_narrow.join(comp, F.col("id") == F.col("node"), "left").select(*sets_narrow.columns, F.coalesce("component", "id").alias("comp"))
         pairs = candidate_pairs(labelled, percent, turn)
         if turn is not None:
             pairs = pairs.groupBy("x").agg(F.max_by("y", F.struct("shared", F.negate("y"))).alias("y"))
-        pairs = written(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "pairs")
-        fresh = pairs if tried is None else written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-        tried = fresh if tried is None else tried.union(fresh)
-        comp = _joined(comp, written(verified(fresh, sets, percent), "links"))
+        pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        fresh = written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+        tried = tried.union(fresh)
+        links = None if fresh.isEmpty() else written(verified(fresh, sets, percent), "links")
+        if links is None or links.isEmpty():
+            turns = turns[-1:]  # pivots have nothing more to tell: all pairs that are left
+            continue
+        comp = _joined(comp, links)
     comp = comp.select(F.col("node").alias("class"), "component")
 
     named = facts.join(copies, "id", "left").withColumn("class", F.coalesce("class", "id")).join(comp, "class", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .grid import Slice, run_bounds, slices, spans_hash
+from .grid import Slice, run_bounds, slices, spans_hash, trim
 from .shared import held_out
 
 #: Most labelled rows that are fitted: those with the smallest md5 of the identifier.
@@ -227,10 +227,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = text_features(b.column("_text"))
             yield pa.RecordBatch.from_arrays([b.column("_rank"), b.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], ["rank", "y", "x"])
 
-    got = rows.select("_rank", "_y", "_text").mapInArrow(featured, "rank string, y int, x array<double>").collect()
-    got.sort(key=lambda r: (r["rank"], r["x"]))
-    x = np.array([r["x"] for r in got], np.float64).reshape(len(got), len(FEATURES))
-    return fit_additive(x, np.array([r["y"] for r in got], np.float64))
+    got = rows.select("_rank", "_y", "_text").mapInArrow(featured, "rank string, y int, x array<double>").toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(FEATURES))
+    rank = np.array(got.column("rank").to_pylist(), dtype="U32")
+    order = np.lexsort((*x.T[::-1], rank)) if len(got) else np.zeros(0, np.int64)  # the same order in every run
+    model = fit_additive(x[order], got.column("y").to_numpy().astype(np.float64)[order])
+    del got, x, rank
+    trim()
+    return model
 
 
 def quality_score(model: AdditiveModel, text: Column) -> Column:
