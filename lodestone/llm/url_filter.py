@@ -83,12 +83,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         f"transform(filter(array({lengths}), n -> n <= length(_path)), n -> "
         "named_struct('host', array_join(slice(split(_host, '[.]'), i, size(split(_host, '[.]'))), '.'), 'path', left(_path, n)))))"
     )
-    hosts = rows.where("_host != ''").select("_host", "_path").distinct()
-    hits = hosts.withColumn("_key", F.explode(keys)).select("_host", "_path", F.col("_key.host").alias("host"), F.col("_key.path").alias("path"))
+    hits = rows.where("_host != ''").withColumn("_key", F.explode(keys)).select("_host", "_path", F.col("_key.host").alias("host"), F.col("_key.path").alias("path"))
     block, g = _hashes(F.col("host"), F.col("path"), n_blocks)
     hits = hits.withColumns({"_block": block, "_g": g}).join(F.broadcast(bloom_blocks(listed, n_blocks)), "_block")
     for j in range(BLOCK):
         hits = hits.where(F.col(f"_w{j}").bitwiseAND(_mask(F.col("_g"), j)) != 0)
+    hits = hits.select("_host", "_path", "host", "path").distinct()
     found = hits.join(listed, ["host", "path"]).groupBy("_host", "_path").agg(
         F.max_by(F.struct(F.concat("host", "path").alias("rule"), "_verdict"), F.struct(F.length("host") + F.length("path"), F.length("host"))).alias("_best")
     )
