@@ -19,7 +19,7 @@ from .grid import Slice, run_bounds, slices, trim
 from .shared import partitions
 
 #: Fingerprints that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Buckets for each shuffle partition, so that buckets even out.
 BUCKETS_A_PARTITION = 4
 #: In place of a document: several have it, and they know.
@@ -114,12 +114,13 @@ def run_rows(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         yield int(part[lo]), None, _planes(low[lo:hi]), pack(ids[lo:hi])
 
 
-def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter, overlap: int | None = None) -> DataFrame:
     """Rows of RUN_SCHEMA of a frame ``_id long, _text string``.
 
     Rows with an id say which keys of that document are known to be shared; the
     others hold, for a bucket, sorted keys and the document of each, or SEVERAL.
-    Rows with a null id have no fingerprints."""
+    Rows with a null id have no fingerprints. With an ``overlap`` (in bytes), long
+    documents come to ``fingerprints`` in pieces."""
     buckets = bucket_count(docs)
 
     def tell(batches):
@@ -128,7 +129,7 @@ def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter) -> DataFrame:
             if not b.num_rows:
                 continue
             own = b.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for s in slices(b.column("_text")):
+            for s in slices(b.column("_text"), overlap=overlap):
                 d, fp = fingerprints(s)
                 ids.append(own[s.first + d])
                 fps.append(fp)
@@ -182,9 +183,9 @@ def hits_by_document(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_hit")).agg(F.collect_list("keys").alias("_keys"))
 
 
-def shared_fingerprints(docs: DataFrame, fingerprints: Fingerprinter) -> DataFrame:
+def shared_fingerprints(docs: DataFrame, fingerprints: Fingerprinter, overlap: int | None = None) -> DataFrame:
     """``_hit, _keys`` of each document of ``docs`` (``_id long, _text``) that shares a fingerprint with another."""
-    return hits_by_document(merge_rows(fingerprint_rows(docs, fingerprints)))
+    return hits_by_document(merge_rows(fingerprint_rows(docs, fingerprints, overlap)))
 
 
 def joined_keys(keys) -> np.ndarray:

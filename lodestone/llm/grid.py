@@ -8,6 +8,7 @@ longest single document.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,29 +21,13 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: Odd multipliers of the polynomial hashes (fixed values: results of different tasks must agree).
-BASE = 0x9E3779B97F4A7C15
-STEP = 0xD1342543DE82EF95
-M64 = (1 << 64) - 1
+#: Multipliers and keys of the hashes (fixed values: results of different tasks must agree).
+SPREAD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
+STEP = np.uint64(SPREAD[1])
+#: Spans of more bytes are hashed one by one, by a keyed byte hash.
+LONG = 64
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = np.full(size, base & M64, np.uint64)
-        out[0] = 1
-        got = np.cumprod(out, dtype=np.uint64)
-        if size <= 1 << 22:
-            _powers[base] = got
-    return got[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,13 +41,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Slice:
-    """Some consecutive documents: ``buf`` bytes, ``offs`` of n + 1 document bounds, ``first`` row in the batch."""
+    """Some consecutive documents: ``buf`` bytes, ``offs`` of n + 1 document bounds, ``first`` row in the batch.
+
+    A piece of a long document is alone; ``base`` is where it starts in the document."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, first: int):
-        self.buf, self.offs, self.first, self.n = buf, offs, first, len(offs) - 1
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, first: int, base: int = 0):
+        self.buf, self.offs, self.first, self.n, self.base = buf, offs, first, len(offs) - 1, base
 
-    def words(self, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end, document and 64-bit hash of each word."""
+    def words(self, lower: bool, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, document and 64-bit hash of each word; hashes of another ``key`` are independent."""
         buf = _LOWER[self.buf] if lower else self.buf
         n = len(buf)
         if not n:
@@ -79,31 +66,75 @@ class Slice:
         after[-1], after[:-1] = True, space[1:]
         end = np.flatnonzero(~space & (after | edge[1:])) + 1
         doc = np.searchsorted(self.offs, start, side="right") - 1
-        return start, end, doc, spans_hash(buf, start, end)
+        return start, end, doc, spans_hash(buf, start, end, key)
+
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, past the end zeros, as a view of one number a place."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
 
-def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial modulo 2^64, mixed with the length."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
-    poly = (total[end] - total[start]) * powers(inverse(BASE), n + 1)[start]
-    return mix(poly + (end - start).astype(np.uint64) * np.uint64(STEP))
+
+def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span.
+
+    Eight bytes at a time go through a bijection of the state, so spans of up to
+    eight bytes have no collision among those of their length; spans of more
+    than LONG bytes are hashed by blake2b."""
+    size = end - start
+    view = eights(buf)
+    h = mix(size.astype(np.uint64) * STEP + np.uint64(SPREAD[key]))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] ^ (view[start[live] + at] & _MASK[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8, key=bytes([key])).digest(), "little")
+    return h
 
 
 def grams_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of ``k`` values; the caller drops runs that cross documents."""
-    n = len(words)
-    if n < k:
+    """Hash of each run of ``k`` values; the caller drops runs that cross documents.
+
+    Runs are put together from runs of powers of two; every step is mixed, so
+    the hash is no polynomial."""
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(STEP, n), out=total[1:])
-    poly = (total[k:] - total[:-k]) * powers(inverse(STEP), n)[: n - k + 1]
-    return mix(poly + np.uint64(k))
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = power[:n] if out is None else mix(out * STEP + power[done : done + n])
+            done += size
+        if done == k:
+            return mix(out + np.uint64(k))
+        power = mix(power[:-size] * STEP + power[size:])
+        size *= 2
+
+
+def byte_grams_hash(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` bytes, for choosing anchors; runs of equal hash needn't be equal."""
+    n = len(buf) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    view = eights(buf)
+    places = [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])] if k >= 8 else [0]
+    out = np.zeros(n, np.uint64)
+    factor = SPREAD[0]
+    for p in places:
+        part = view[p : p + n] * np.uint64(factor)
+        out += part if k >= 8 else (view[:n] & _MASK[k]) * np.uint64(factor)
+        factor = factor * SPREAD[1] & ((1 << 64) - 1)
+    return mix(out)
+
 
+def slices(text: pa.Array, size: int = SLICE, overlap: int | None = None) -> Iterator[Slice]:
+    """Documents of an Arrow string array (null: empty) in slices of whole documents.
 
-def slices(text: pa.Array, size: int = SLICE) -> Iterator[Slice]:
-    """Documents of an Arrow string array (null: empty) in slices of whole documents."""
+    With an ``overlap``, a document of more than ``size`` bytes comes in pieces that have so many bytes in common."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = text.fill_null("").cast(pa.large_string())
@@ -113,7 +144,15 @@ def slices(text: pa.Array, size: int = SLICE) -> Iterator[Slice]:
     while row < len(text):
         stop = int(np.searchsorted(offs, offs[row] + size, side="left"))
         stop = min(max(stop, row + 1), len(text))
-        yield Slice(data[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row], row)
+        if overlap is not None and stop > row + 1 and offs[stop] - offs[stop - 1] > size:
+            stop -= 1  # a long document is alone
+        if overlap is None or offs[stop] - offs[row] <= size or stop > row + 1:
+            yield Slice(data[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row], row)
+        else:
+            lo, hi = int(offs[row]), int(offs[stop])
+            for at in range(lo, max(hi - overlap, lo + 1), size):
+                end = min(at + size + overlap, hi)
+                yield Slice(data[at:end], np.array([0, end - at], np.int64), row, at - lo)
         row = stop
 
 
