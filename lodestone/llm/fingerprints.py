@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grid import Slice, run_bounds, slices, trim
@@ -40,7 +40,7 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(raw: bytes, n: int) -> tuple[np.ndarray, int]:
     """The n integers that :func:`pack` put first in ``raw``, and the bytes they took."""
-    base, size = int.from_bytes(raw[:8], "little", signed=True), raw[8]
+    base, size = int.from_bytes(memoryview(raw)[:8], "little", signed=True), memoryview(raw)[8]
     return np.frombuffer(raw, f"<u{size}", n, 9).astype(np.int64) + base, 9 + size * n
 
 
@@ -53,8 +53,8 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1)[::-1].T).view("<u4").ravel()
 
 
-def bucket_count(df: DataFrame) -> int:
-    return BUCKETS_A_PARTITION * partitions(df.sparkSession)
+def bucket_count(spark: SparkSession) -> int:
+    return BUCKETS_A_PARTITION * partitions(spark)
 
 
 def keyed(fp: np.ndarray, buckets: int) -> np.ndarray:
@@ -114,14 +114,13 @@ def run_rows(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
         yield int(part[lo]), None, _planes(low[lo:hi]), pack(ids[lo:hi])
 
 
-def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter, overlap: int | None = None) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter, buckets: int, overlap: int | None = None) -> DataFrame:
     """Rows of RUN_SCHEMA of a frame ``_id long, _text string``.
 
     Rows with an id say which keys of that document are known to be shared; the
     others hold, for a bucket, sorted keys and the document of each, or SEVERAL.
     Rows with a null id have no fingerprints. With an ``overlap`` (in bytes), long
     documents come to ``fingerprints`` in pieces."""
-    buckets = bucket_count(docs)
 
     def tell(batches):
         ids, fps, size = [], [], 0
@@ -144,35 +143,37 @@ def fingerprint_rows(docs: DataFrame, fingerprints: Fingerprinter, overlap: int
     return docs.where(F.col("_id").isNotNull()).select("_id", "_text").mapInArrow(tell, RUN_SCHEMA)
 
 
-def merge_rows(rows: DataFrame, keep_runs: bool = False) -> DataFrame:
+def run_entries(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """The bucket of a table of RUN_SCHEMA, and the keys and documents of its runs."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    part = int(table.column("part")[0].as_py()) if table.num_rows else 0
+    for k, d in zip(table.column("keys"), table.column("docs"), strict=True):
+        if d.is_valid:
+            keys.append(_from_planes(k.as_buffer()).astype(np.uint64))
+            docs.append(unpack(d.as_buffer(), len(keys[-1]))[0])
+    return part, (np.uint64(part) << np.uint64(32)) | np.concatenate(keys), np.concatenate(docs)
+
+
+def merge_rows(rows: DataFrame, buckets: int, keep_runs: bool = False) -> DataFrame:
     """Merge the rows of each bucket: newly shared keys go to their documents.
 
     Returns rows of RUN_SCHEMA: hits (with an id) and, if ``keep_runs``, one
     merged run for each bucket."""
-    buckets = bucket_count(rows)
 
     def merge(table: pa.Table) -> pa.Table:
         out = []
-        keys, docs, part = [], [], 0
-        for p, i, k, d in zip(*(table.column(c).to_pylist() for c in ("part", "id", "keys", "docs")), strict=True):
-            if i is not None:
-                out.append((p, i, k, None))
-                continue
-            part = p
-            keys.append(_from_planes(k))
-            docs.append(unpack(d, len(keys[-1]))[0])
-        if keys:
-            key, ids = np.concatenate(keys), np.concatenate(docs)
+        part, key, ids = run_entries(table)
+        out.extend((part, i, k, None) for i, k in zip(table.column("id").to_pylist(), table.column("keys").to_pylist(), strict=True) if i is not None)
+        if len(key):
             order = np.lexsort((ids, key))
             key, ids = key[order], ids[order]
             bounds = run_bounds(key)
             first, last = bounds[:-1], bounds[1:] - 1
             shared = (ids[first] != ids[last]) | (ids[first] == SEVERAL)
             mine = np.repeat(shared, np.diff(bounds)) & (ids != SEVERAL)
-            full = (np.uint64(part) << np.uint64(32)) | key.astype(np.uint64)
-            out.extend(_hit_rows(ids[mine], full[mine], buckets))
+            out.extend(_hit_rows(ids[mine], key[mine], buckets))
             if keep_runs:
-                out.extend(run_rows(full[first], np.where(shared, SEVERAL, ids[first])))
+                out.extend(run_rows(key[first], np.where(shared, SEVERAL, ids[first])))
         return pa.Table.from_batches([_batch(out)]) if out else pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["part", "id", "keys", "docs"])
 
     return rows.groupBy("part").applyInArrow(merge, RUN_SCHEMA)
@@ -183,9 +184,9 @@ def hits_by_document(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_hit")).agg(F.collect_list("keys").alias("_keys"))
 
 
-def shared_fingerprints(docs: DataFrame, fingerprints: Fingerprinter, overlap: int | None = None) -> DataFrame:
+def shared_fingerprints(docs: DataFrame, fingerprints: Fingerprinter, buckets: int, overlap: int | None = None) -> DataFrame:
     """``_hit, _keys`` of each document of ``docs`` (``_id long, _text``) that shares a fingerprint with another."""
-    return hits_by_document(merge_rows(fingerprint_rows(docs, fingerprints, overlap)))
+    return hits_by_document(merge_rows(fingerprint_rows(docs, fingerprints, buckets, overlap), buckets))
 
 
 def joined_keys(keys) -> np.ndarray:

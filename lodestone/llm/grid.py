@@ -48,13 +48,13 @@ class Slice:
     def __init__(self, buf: np.ndarray, offs: np.ndarray, first: int, base: int = 0):
         self.buf, self.offs, self.first, self.n, self.base = buf, offs, first, len(offs) - 1, base
 
-    def words(self, lower: bool, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end, document and 64-bit hash of each word; hashes of another ``key`` are independent."""
+    def bounds(self, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, and start, end and document of each word."""
         buf = _LOWER[self.buf] if lower else self.buf
         n = len(buf)
         if not n:
             none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64)
+            return buf, none, none, none
         space = _SPACE[buf]
         edge = np.ones(n + 1, bool)
         edge[1:] = False
@@ -62,13 +62,26 @@ class Slice:
         before = np.empty(n, bool)
         before[0], before[1:] = True, space[:-1]
         start = np.flatnonzero(~space & (before | edge[:-1]))
-        after = np.empty(n, bool)
-        after[-1], after[:-1] = True, space[1:]
-        end = np.flatnonzero(~space & (after | edge[1:])) + 1
-        doc = np.searchsorted(self.offs, start, side="right") - 1
+        before[-1], before[:-1] = True, space[1:]
+        end = np.flatnonzero(~space & (before | edge[1:])) + 1
+        return buf, start, end, np.searchsorted(self.offs, start, side="right") - 1
+
+    def words(self, lower: bool, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, document and 64-bit hash of each word; hashes of another ``key`` are independent."""
+        buf, start, end, doc = self.bounds(lower)
         return start, end, doc, spans_hash(buf, start, end, key)
 
 
+def plain(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with one space behind each; where each starts, with the end."""
+    offs = np.concatenate([[0], np.cumsum(end - start + 1)])
+    out = np.full(offs[-1], 32, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[offs[1:] - 1] = False
+    out[inside] = buf[np.flatnonzero(inside) + np.repeat(start - offs[:-1], end - start)] if len(start) else 0
+    return out, offs
+
+
 def eights(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each place, past the end zeros, as a view of one number a place."""
     padded = np.zeros(len(buf) + 8, np.uint8)
@@ -156,6 +169,42 @@ def slices(text: pa.Array, size: int = SLICE, overlap: int | None = None) -> Ite
         row = stop
 
 
+_TO_SPACE = bytes(32 if _SPACE[b] else b for b in range(256))
+
+
+def joined_words(text: bytes) -> bytes:
+    """The words of a text with one space between them."""
+    out = text.translate(_TO_SPACE).strip(b" ")
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out
+
+
+def word_ids(raw: bytes) -> np.ndarray:
+    """A number for each word of a text of words that each have a space behind them; equal words have equal numbers."""
+    buf = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(buf == 32) + 1
+    offs = np.concatenate([[0], ends]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offs), pa.py_buffer(raw)])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def run_names(ids: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of ``k`` values; equal runs have equal numbers and no others have.
+
+    Runs of powers of two are named by the names of their halves."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    name, size = ids, 1
+    while size < k:
+        step = min(size, k - size)
+        pair = name[:-step] * np.int64(int(name.max()) + 1) + name[step:]
+        name = np.unique(pair, return_inverse=True)[1]
+        size += step
+    return name
+
+
 def run_bounds(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours, with the length at the end."""
     if not len(keys):

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import RUN_SCHEMA, _in_batches, bucket_count, is_key, joined_keys, keyed, pack, run_bounds, shared_fingerprints, unpack, window_minimizers
-from .grid import Slice, grams_hash, mix, slices, trim
+from .grid import Slice, byte_grams_hash, mix, slices, trim
+from .shared import new_path
 
 #: Length of the repeated byte strings.
 LENGTH = 50
 #: Bytes of the grams that pick a string's anchor.
 GRAM = 20
-#: Bytes of columns that a bucket keeps in memory; more go to a sequential temporary file.
+#: Bytes of columns that a bucket keeps in memory; more go to a sequential file in the shared folder.
 IN_MEMORY = 64 << 20
 #: Spans that a task gathers before it sends them.
-FLUSH = 1 << 19
+FLUSH = 1 << 17
+#: Bytes of text that are handled at once; longer documents come in overlapping pieces.
+PIECE = 1 << 18
 
 
 def _anchors(s: Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -30,7 +34,7 @@ def _anchors(s: Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    h = grams_hash(s.buf.astype(np.uint64) + np.uint64(1), gram)
+    h = byte_grams_hash(s.buf, gram)
     place = window_minimizers(h, length - gram + 1)
     room = np.maximum(np.diff(s.offs) - length + 1, 0)  # strings of each document
     doc = np.repeat(np.arange(s.n), room)
@@ -83,19 +87,24 @@ def column_sort(columns: Iterator[np.ndarray], n: int) -> Iterator[tuple[np.ndar
         yield order, common
 
 
-def _columns(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Columns of a matrix, last first; a large one passes through a sequential file."""
-    if rows.nbytes <= IN_MEMORY:
-        yield from np.ascontiguousarray(rows.T[::-1])
-        return
-    with tempfile.TemporaryFile() as spool:
+def _columns(rows: np.ndarray, folder: str | None) -> Iterator[np.ndarray]:
+    """Columns of a matrix, last first; those of a large one pass through a sequential file in ``folder``."""
+    if rows.nbytes <= IN_MEMORY or folder is None:
         for c in range(rows.shape[1] - 1, -1, -1):
-            np.ascontiguousarray(rows[:, c]).tofile(spool)
-        n, width = rows.shape
-        del rows
-        spool.seek(0)
+            yield np.ascontiguousarray(rows[:, c])
+        return
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    path = f"{path}/{uuid.uuid4().hex}"
+    n, width = rows.shape
+    with fs.open_output_stream(path) as out:
+        for c in range(width - 1, -1, -1):
+            out.write(np.ascontiguousarray(rows[:, c]))
+    del rows
+    with fs.open_input_stream(path) as spool:
         for _ in range(width):
-            yield np.fromfile(spool, np.uint8, n)
+            yield np.frombuffer(spool.read(n), np.uint8)
+    fs.delete_file(path)
 
 
 def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +126,7 @@ def range_rows(doc: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: in
         yield int(doc[lo]) % buckets, int(doc[lo]), pairs[lo:hi].tobytes(), None
 
 
-def repeated_strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, reach: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of starts of the strings that also start in a smaller document.
 
     Row i is the text around an anchor at column ``reach``; its strings start
@@ -126,7 +135,7 @@ def repeated_strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.
     the column sort settles the strings that start there."""
     n, width = rows.shape
     docs, starts = [], []
-    for c, (order, common) in zip(range(width - 1, -1, -1), column_sort(_columns(rows), n), strict=True):
+    for c, (order, common) in zip(range(width - 1, -1, -1), column_sort(_columns(rows, folder), n), strict=True):
         if c > reach:
             continue
         group = np.cumsum(common < length)
@@ -162,23 +171,25 @@ def _spans(s: Slice, keys: list[np.ndarray], buckets: int, length: int, gram: in
     from_ = place[first] - reach
     idx = np.clip(from_[:, None] + col, 0, max(len(s.buf) - 1, 0))
     text = np.where((col >= low[:, None]) & (col < high[:, None] + length), s.buf[idx] if len(first) else np.zeros((0, width), np.uint8), 0).astype(np.uint8)
-    return {"key": key[first], "doc": doc[first], "at": place[first] - s.offs[doc[first]], "low": low.astype(np.uint8), "high": high.astype(np.uint8), "text": text}
+    return {"key": key[first], "doc": doc[first], "at": place[first] - s.offs[doc[first]] + s.base, "low": low.astype(np.uint8), "high": high.astype(np.uint8), "text": text}
 
 
 def _span_rows(part: dict[str, np.ndarray], length: int, buckets: int) -> Iterator[tuple]:
     """Rows of one task's spans: settled copies as ranges, the rest by bucket."""
     # Of equal spans only that of the smallest document is sent; the others are repeats of it.
     n, width = part["text"].shape
-    whole = np.concatenate([part["text"], part["low"][:, None], part["high"][:, None]], 1)
-    padded = np.zeros((n, (width + 9) // 8 * 8), np.uint8)
-    padded[:, : width + 2] = whole
-    words = padded.view(np.uint64)
+    whole = np.zeros((n, (width + 9) // 8 * 8), np.uint8)
+    whole[:, :width], whole[:, width], whole[:, width + 1] = part["text"], part["low"], part["high"]
+    words = whole.view(np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(words.shape[1]):
         h = mix(h ^ words[:, j]) + np.uint64(j)
     order = np.lexsort((part["doc"], h))
     same = np.zeros(n, bool)
-    same[1:] = (whole[order[1:]] == whole[order[:-1]]).all(1)
+    same[1:] = h[order[1:]] == h[order[:-1]]
+    for j in range(words.shape[1]):
+        same[1:] &= words[order[1:], j] == words[order[:-1], j]
+    del whole, words, h
     head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
     repeat = part["doc"][order] > part["doc"][order[head]]
     gone = order[repeat]
@@ -200,6 +211,13 @@ def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int)
 
     ``candidates``: ``_id, _text, _keys`` of the documents that share anchors."""
     reach, width = length - gram, 2 * length - gram
+    folder = new_path(candidates.sparkSession, "columns")
+
+    def gathered(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        whole = {}
+        for k in list(held[0]):
+            whole[k] = np.concatenate([h.pop(k) for h in held])
+        return _in_batches(_span_rows(whole, length, buckets))
 
     def tell(batches):
         held, size = [], 0
@@ -208,37 +226,40 @@ def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int)
                 continue
             own = b.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
             keys = b.column("_keys")
-            for s in slices(b.column("_text"), 1 << 18):
+            for s in slices(b.column("_text"), PIECE, length - 1):
                 mine = [joined_keys(keys[s.first + i].as_py() or []) for i in range(s.n)]
                 part = _spans(s, mine, buckets, length, gram)
                 part["doc"] = own[s.first + part["doc"]]
                 held.append(part)
                 size += len(part["doc"])
                 if size >= FLUSH:
-                    yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length, buckets))
+                    yield from gathered(held)
                     held, size = [], 0
         if size:
-            yield from _in_batches(_span_rows({k: np.concatenate([h[k] for h in held]) for k in held[0]}, length, buckets))
+            yield from gathered(held)
         trim()
 
     def settle(table: pa.Table) -> pa.Table:
         """Settled ranges pass; the spans of the bucket are sorted."""
         text, meta, out = [], [], []
-        for i, k, d in zip(*(table.column(c).to_pylist() for c in ("id", "keys", "docs")), strict=True):
-            if i is not None:
-                out.append((i, k))
+        for i, k, d in zip(*(table.column(c) for c in ("id", "keys", "docs")), strict=True):
+            if i.is_valid:
+                out.append((i.as_py(), k.as_py()))
                 continue
-            text.append(np.frombuffer(k, np.uint8).reshape(-1, width))
+            text.append(np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, width))
             cols, at = [], 0
+            said = d.as_buffer()
             for _ in range(4):
-                col, used = unpack(d[at:], len(text[-1]))
+                col, used = unpack(said[at:], len(text[-1]))
                 cols.append(col)
                 at += used
             meta.append(np.stack(cols))
         if text:
             doc, at, low, high = np.concatenate(meta, 1)
-            ranges = repeated_strings(np.concatenate(text), doc, at, low, high, length, reach)
+            ranges = repeated_strings(np.concatenate(text), doc, at, low, high, length, reach, folder)
             out.extend((i, k) for _, i, k, _ in range_rows(*ranges))
+            del text, meta, doc, at, low, high
+        trim()
         return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
 
     rows = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
@@ -258,9 +279,20 @@ def covered(ranges: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first, 0], end[last]
 
 
-def cut_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``_id, _text, _starts, _ends`` (removed byte runs) of the documents that lose bytes; ``_id`` is long."""
-    buckets = bucket_count(docs)
+CUT_SCHEMA = "_id long, _text string, _starts array<long>, _ends array<long>"
+
+
+def covered_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_id, _text, _ranges`` as those of CUT_SCHEMA."""
+    for b in batches:
+        pairs = [covered(r.as_py(), length) for r in b.column("_ranges")]
+        runs = [pa.array([p[i] for p in pairs], pa.list_(pa.int64())) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_text"), *runs], ["_id", "_text", "_starts", "_ends"])
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``_id, _text, _ranges`` (starts of removed strings) of the documents of ``_id long, _text`` that lose bytes."""
+    buckets = bucket_count(docs.sparkSession)
 
     def anchors(s: Slice) -> tuple[np.ndarray, np.ndarray]:
         _, doc, place, h = _anchors(s, length, gram)
@@ -269,16 +301,15 @@ def cut_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         return doc[new], h[new]
 
     # Both joins take the texts from one shuffle by identifier.
-    candidates = docs.join(shared_fingerprints(docs, anchors), F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
+    candidates = docs.join(shared_fingerprints(docs, anchors, buckets, length - 1), F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
     gone = removed_ranges(candidates, length, gram, buckets)
+    return docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", "_ranges")
 
-    @F.arrow_udf("struct<starts: array<long>, ends: array<long>>")
-    def runs(ranges: pa.Array) -> pa.Array:
-        starts, ends = zip(*(covered(r.as_py(), length) for r in ranges), strict=True) if len(ranges) else ((), ())
-        kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(starts, kind), pa.array(ends, kind)], ["starts", "ends"])
 
-    return docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r")).select("_id", "_text", F.col("_r.starts").alias("_starts"), F.col("_r.ends").alias("_ends"))
+def cut_text(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``_id, _text, _starts, _ends`` (removed byte runs) of the documents of ``_id long, _text`` that lose bytes."""
+
+    return repeated(docs, length, gram).mapInArrow(lambda batches: covered_batches(batches, length), CUT_SCHEMA)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -291,7 +322,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     symbol of each member is inserted a round, the order (by the new symbols of
     the Burrows-Wheeler transform) and the common prefixes are updated, and
     neighbours with ``length`` symbols in common are equal strings. Columns of
-    large buckets pass through sequential temporary files.
+    large buckets pass through sequential files in the shared folder, and long
+    documents are read in overlapping pieces.
 
     Returns id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
     ``kept_sha256`` (of the bytes left).
@@ -305,27 +337,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
     facts = rows.select("_key", "_id", F.octet_length("_text").cast("long").alias("_n"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"))
 
-    @F.arrow_udf("struct<n: long, spans: long, whole: string, sha: string>")
-    def digest(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for t, a, b in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
-            raw, at, h, n = t.encode(), 0, hashlib.sha256(), 0
-            for lo, hi in zip(a, b, strict=True):
-                h.update(raw[at:lo])
-                n += hi - lo
-                at = hi
-            h.update(raw[at:])
-            out.append({"n": n, "spans": len(a), "whole": hashlib.sha256(raw).hexdigest(), "sha": h.hexdigest()})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("spans", pa.int64()), ("whole", pa.string()), ("sha", pa.string())]))
-
-    cut = cut_text(rows.where("_id is not null").select("_id", "_text"), length, gram)
-    cut = cut.select(F.col("_id").alias("_cid"), digest("_text", "_starts", "_ends").alias("_d"))
-    cut = cut.select("_cid", "_d", F.col("_d.whole").alias("_csha")).dropDuplicates(["_cid", "_csha"])
+    def digest(batches):
+        for b in batches:
+            out = []
+            for t, r in zip(b.column("_text"), b.column("_ranges"), strict=True):
+                raw, at, h, n = t.as_buffer(), 0, hashlib.sha256(), 0
+                starts, ends = covered(r.as_py(), length)
+                for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                    h.update(raw[at:lo])
+                    n += hi - lo
+                    at = hi
+                h.update(raw[at:])
+                out.append((hashlib.sha256(raw).hexdigest(), n, len(starts), h.hexdigest()))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], ["_cid", "_csha", "_gone", "_spans", "_kept"])
+
+    cut = repeated(rows.where("_id is not null").select("_id", "_text"), length, gram)
+    cut = cut.mapInArrow(digest, "_cid long, _csha string, _gone long, _spans long, _kept string").dropDuplicates(["_cid", "_csha"])
     out = facts.join(cut, (F.col("_id") == F.col("_cid")) & (F.col("_sha") == F.col("_csha")), "left")
     return out.select(
         F.col("_key").alias(id_col),
         F.col("_n").alias("n_bytes"),
-        F.coalesce(F.col("_d.n"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.col("_d.spans"), F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce(F.col("_d.sha"), F.col("_sha")).alias("kept_sha256"),
+        F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("_kept", "_sha").alias("kept_sha256"),
     )
