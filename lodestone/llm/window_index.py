@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,19 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fingerprints import RUN_SCHEMA, _in_batches, bucket_count, fingerprint_rows, hits_by_document, is_key, joined_keys, keyed, merge_rows, pack, run_bounds, unpack, window_minimizers
-from .grid import Slice, grams_hash, mix, slices, trim
-from .shared import drop_path, new_path, written
-from .suffix_dedup import _ranges, covered, range_rows
+from .fingerprints import (
+    RUN_SCHEMA, SEVERAL, _batch, _from_planes, _in_batches, _planes, bucket_count, fingerprint_rows, hits_by_document, is_key, joined_keys, keyed, merge_rows, pack, run_bounds, run_entries, run_rows,
+    unpack, window_minimizers,
+)
+from .grid import Slice, grams_hash, joined_words, plain, run_names, slices, spans_hash, trim, word_ids
+from .shared import Folder, drop_path, forget, new_path, partitions, written
+from .suffix_dedup import CUT_SCHEMA, _ranges, covered, covered_batches, range_rows
 
 #: Words in a window, and in the grams that pick its anchor.
 LENGTH, GRAM = 50, 25
-#: Runs of one level that are merged into one of the next.
-FANOUT = 3
+#: Words in the grams that cut shared text into spans for the comparison.
+CUT = 10
 #: Batches in which a whole table is indexed.
 BATCHES = 3
-#: Windows that a task gathers before it sends them.
-FLUSH = 1 << 18
+#: Windows that a task gathers before it sends them, and bytes of spans.
+FLUSH, SPAN_BYTES = 1 << 18, 16 << 20
+
+_RANGES = "id long, keys binary"
 
 
 def _windows(s: Slice, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -40,109 +47,192 @@ def _windows(s: Slice, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 class WindowIndex:
-    """Sorted immutable runs of the hashes that anchor the windows of all documents so far.
-
-    :meth:`add` writes the anchors of a batch as a run, sorted in buckets,
-    merge-joins it with the older runs, and records which documents, new or old,
-    now share an anchor with another. FANOUT runs of one level are compacted
-    into one of the next; runs are never changed. :meth:`resolve` verifies:
-    windows of documents that share anchors are compared by two independent
-    64-bit hashes of their words, and the smallest document keeps each.
-
-    Paths lie in the shared folder and are removed when the driver ends.
+    """A log-structured index of the hashes that anchor the windows of all documents so far.
+
+    The folder holds immutable runs, sorted by hash in ``buckets`` buckets, the
+    documents found to share hashes, and numbered manifests that list them; the
+    manifest with the largest number is the index. A folder that has one is opened
+    with the settings it was made with, whatever those of the session.
+
+    :meth:`add` writes the anchors of a batch as a run, merge-joins it with each
+    older run, bucket with bucket and without moving them, and records which
+    documents, new or old, now share an anchor. Two runs of one level are
+    compacted into one of the next; runs that were replaced are deleted when the
+    manifest without them is there. A batch counts only once its manifest is
+    written: after a crash it can be added again.
+
+    :meth:`resolve` verifies: windows of documents that share anchors are
+    compared word for word, and the smallest document keeps each.
+
+    ``buckets`` bounds what a task holds of a run: choose it so that a
+    ``buckets``-th of all anchors (about one for 13 words, 12 bytes each) fits.
+    Without a ``path`` the index lies in the shared folder and goes with the driver.
     """
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, fanout: int = FANOUT):
-        self.spark, self.length, self.gram, self.fanout = spark, length, gram, fanout
-        self.runs: list[tuple[int, str]] = []
-        self.hits: list[DataFrame] = []
-
-    def _anchors(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        _, doc, place, h, _, _ = _windows(s, self.length, self.gram)
-        new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-        return doc[new], h[new]
+    def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None):
+        self.spark, self.path = spark, path or new_path(spark, "window-index")
+        self.folder = Folder(spark, f"{self.path}/manifests")
+        self._tables: dict[str, str] = {}
+        found = self.folder.names()
+        if found:
+            self.version = int(found[-1].partition(".")[0])
+            said = json.loads(self.folder.read(found[-1]))
+            self.length, self.gram, self.buckets, self.files = said["length"], said["gram"], said["buckets"], said["files"]
+            self.runs, self.hits = [tuple(r) for r in said["runs"]], said["hits"]
+        else:
+            self.version, self.length, self.gram = 0, length, gram
+            self.buckets = buckets or bucket_count(spark)
+            self.files = min(partitions(spark), self.buckets)
+            self.runs: list[tuple[int, str]] = []
+            self.hits: list[str] = []
+
+    def _commit(self, runs: list[tuple[int, str]], hits: list[str]) -> None:
+        said = {"length": self.length, "gram": self.gram, "buckets": self.buckets, "files": self.files, "runs": runs, "hits": hits}
+        self.folder.write_new(f"{self.version + 1:09}.json", json.dumps(said))
+        self.version += 1
+        for _, name in set(self.runs) - set(runs):
+            self._forget(name)
+            drop_path(self.spark, f"{self.path}/{name}")
+        self.runs, self.hits = runs, hits
 
     def _write(self, rows: DataFrame) -> str:
-        path = new_path(self.spark, "run")
-        rows.sortWithinPartitions("part").write.parquet(path)
-        return path
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(path)
+        """A run: rows in files by bucket, sorted by it. A task writes the buckets that it has."""
+        name, table = f"run-{uuid.uuid4().hex}", f"lodestone_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.files, "part").sortBy("part").option("path", f"{self.path}/{name}").saveAsTable(table)
+        self._tables[name] = table
+        return name
+
+    def _read(self, name: str) -> DataFrame:
+        """A run, as a table whose buckets need no exchange."""
+        if name not in self._tables:
+            self._tables[name] = f"lodestone_{uuid.uuid4().hex}"
+            self.spark.sql(
+                f"CREATE TABLE {self._tables[name]} (part int, id long, keys binary, docs binary) USING parquet "
+                f"CLUSTERED BY (part) SORTED BY (part) INTO {self.files} BUCKETS LOCATION '{self.path}/{name}'"
+            )
+        return self.spark.table(self._tables[name])
+
+    def _forget(self, name: str) -> None:
+        if name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(name)}")
+
+    def _hits(self, rows: DataFrame) -> str:
+        name = f"hits-{uuid.uuid4().hex}"
+        rows.select("id", "keys").write.parquet(f"{self.path}/{name}")
+        return name
 
     def add(self, batch: DataFrame) -> None:
         """Index a batch (``_id long, _text string``)."""
         length, gram = self.length, self.gram
 
-        def anchors(s: Slice, index=WindowIndex(None, length, gram)) -> tuple[np.ndarray, np.ndarray]:
-            return index._anchors(s)
-
-        path = self._write(merge_rows(fingerprint_rows(batch, anchors), keep_runs=True))
-        mine = self._read(path)
-        self.hits.append(mine.where("id is not null"))
-        if self.runs:
-            older = [self._read(p).where("id is null") for _, p in self.runs]
-            joined = reduce(DataFrame.union, older, mine.where("id is null"))
-            self.hits.append(written(merge_rows(joined), "hits"))
-        self.runs.append((0, path))
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
-        while len(same := [p for lv, p in self.runs if lv == level]) >= self.fanout:
-            rows = reduce(DataFrame.union, [self._read(p).where("id is null") for p in same])
-            path = self._write(merge_rows(rows, keep_runs=True).where("id is null"))
-            self.runs = [(lv, p) for lv, p in self.runs if lv != level] + [(level + 1, path)]
-            level += 1
+        def anchors(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+            _, doc, place, h, _, _ = _windows(s, length, gram)
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+            return doc[new], h[new]
+
+        told = written(merge_rows(fingerprint_rows(batch, anchors, self.buckets), self.buckets, keep_runs=True), "batch")
+        mine = self._write(told.where("id is null").repartition(self.files, "part"))
+        hits = [*self.hits, self._hits(told.where("id is not null"))]
+        forget(told)
+        for _, name in self.runs:
+            pair = self._read(mine).groupBy("part").cogroup(self._read(name).groupBy("part"))
+            hits.append(self._hits(pair.applyInArrow(_common, _RANGES)))
+        runs, made = [*self.runs, (0, mine)], []
+        while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
+            (level, a), (_, b) = runs[-2:]
+            pair = self._read(a).groupBy("part").cogroup(self._read(b).groupBy("part"))
+            runs = [*runs[:-2], (level + 1, self._write(pair.applyInArrow(_merged, RUN_SCHEMA)))]
+            made += [a, b]
+        self._commit(runs, hits)
+        for name in made:  # also runs that were made and replaced within this batch
+            if name in self._tables:
+                self._forget(name)
+                drop_path(self.spark, f"{self.path}/{name}")
 
     def resolve(self, docs: DataFrame) -> DataFrame:
         """``_id, _text, _starts, _ends`` (runs of removed words) of the documents that lose words.
 
         ``docs`` holds all indexed documents that may share windows: a batch with
-        its history."""
-        hits = hits_by_document(reduce(DataFrame.union, self.hits))
-        # Both joins take the texts from one shuffle by identifier.
+        its history. Only those that share anchors are looked into."""
         docs = docs.where("_id is not null").select("_id", "_text")
-        found = docs.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
-        gone = removed_windows(found, self.length, self.gram)
-        length = self.length
+        return removed_words(docs, self.removed(docs), self.length)
 
-        @F.arrow_udf("struct<starts: array<long>, ends: array<long>>")
-        def runs(ranges: pa.Array) -> pa.Array:
-            starts, ends = zip(*(covered(r.as_py(), length) for r in ranges), strict=True) if len(ranges) else ((), ())
-            kind = pa.list_(pa.int64())
-            return pa.StructArray.from_arrays([pa.array(starts, kind), pa.array(ends, kind)], ["starts", "ends"])
+    def removed(self, docs: DataFrame) -> DataFrame:
+        """``_gone long, _ranges array<binary>``: starts of removed windows of each document."""
+        if not self.hits:
+            return self.spark.createDataFrame([], "_gone long, _ranges array<binary>")
+        hits = self.spark.read.schema(_RANGES).parquet(*(f"{self.path}/{name}" for name in self.hits))
+        docs = docs.where("_id is not null").select("_id", "_text")
+        # All joins take the texts from one shuffle by identifier.
+        found = docs.join(hits_by_document(hits), F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
+        shared = shared_windows(found, self.length, self.gram, self.buckets)
+        found = docs.join(shared, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
+        return compared_windows(found, self.length, bucket_count(self.spark))
 
-        both = docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", runs("_ranges").alias("_r"))
-        return both.select("_id", "_text", F.col("_r.starts").alias("_starts"), F.col("_r.ends").alias("_ends"))
+    def close(self) -> None:
+        """Forget the tables of the catalog; the folder stays."""
+        for name in list(self._tables):
+            self._forget(name)
 
     def drop(self) -> None:
-        for _, path in self.runs:
-            drop_path(self.spark, path)
+        """Delete the index."""
+        self.close()
+        drop_path(self.spark, self.path)
         self.runs, self.hits = [], []
 
 
-def _window_rows(w: dict[str, np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows of one task's windows: settled copies as ranges, the rest by bucket."""
-    order = np.lexsort((w["doc"], w["b"], w["a"]))
-    a, b, doc, at, part = (w[k][order] for k in ("a", "b", "doc", "at", "part"))
-    same = np.zeros(len(a), bool)
-    same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
-    repeat = doc > doc[head]
-    yield from range_rows(*_ranges(doc[repeat], at[repeat]), buckets)
-    sent = np.flatnonzero(~repeat)
-    sent = sent[np.argsort(part[sent], kind="stable")]
-    bounds = run_bounds(part[sent])
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        mine = sent[lo:hi]
-        yield int(part[mine[0]]), None, np.stack([a[mine], b[mine]]).tobytes(), pack(doc[mine]) + pack(at[mine])
-
-
-def removed_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
-    """``_gone long, _ranges array<binary>``: starts of removed windows of each document."""
-    buckets = bucket_count(candidates)
+def _common(new: pa.Table, old: pa.Table) -> pa.Table:
+    """What two sorted runs share of a bucket: a row for each document that is alone in its run."""
+    (_, key, ids), (_, keys, theirs) = run_entries(new), run_entries(old)
+    _, a, b = np.intersect1d(key, keys, assume_unique=True, return_indices=True)
+    apart = (ids[a] != theirs[b]) | (ids[a] == SEVERAL)
+    doc = np.concatenate([ids[a][apart], theirs[b][apart]])
+    key = np.concatenate([key[a][apart], keys[b][apart]])
+    doc, key = doc[doc != SEVERAL], key[doc != SEVERAL]
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    bounds = run_bounds(doc)
+    return pa.table({"id": pa.array(doc[bounds[:-1]]), "keys": pa.array([key[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+
+
+def _merged(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Two runs of a bucket as one."""
+    (_, x, ids), (_, y, theirs) = run_entries(a), run_entries(b)
+    key, ids = np.concatenate([x, y]), np.concatenate([ids, theirs])
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    bounds = run_bounds(key)
+    first, last = bounds[:-1], bounds[1:] - 1
+    return pa.Table.from_batches([_batch(list(run_rows(key[first], np.where(ids[first] != ids[last], SEVERAL, ids[first]))))])
+
+
+def shared_windows(candidates: DataFrame, length: int, gram: int, anchor_buckets: int) -> DataFrame:
+    """``_hit long, _keys array<binary>``: first and last of the runs of windows whose hash another document has too.
+
+    Windows go to buckets by their own hash, not by that of the anchor, so text
+    that is everywhere in ever other surroundings doesn't meet in one; a window
+    that several documents of a task have is sent once. ``candidates``: ``_id,
+    _text, _keys`` of the documents that share anchors."""
+    buckets = bucket_count(candidates.sparkSession)
+
+    def rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
+        key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, key))
+        key, doc, at = key[order], doc[order], at[order]
+        bounds = run_bounds(key)
+        first, last = bounds[:-1], bounds[1:] - 1
+        shared = doc[first] != doc[last]
+        mine = np.repeat(shared, np.diff(bounds))
+        yield from range_rows(*_ranges(doc[mine], at[mine]), buckets)
+        # A window that one document has more than once goes on with all its places.
+        sent = np.flatnonzero(~mine | np.isin(np.arange(len(key)), first))
+        key, doc, at = key[sent], np.where(mine[sent], SEVERAL, doc[sent]), at[sent]
+        part = (key >> np.uint64(32)).astype(np.int64)
+        bounds = run_bounds(part)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            yield int(part[lo]), None, _planes(key[lo:hi].astype(np.uint32)), pack(doc[lo:hi]) + pack(at[lo:hi])
 
     def tell(batches):
         held, size = [], 0
@@ -155,51 +245,175 @@ def removed_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                 nth, doc, place, anchor, h, first = _windows(s, length, gram)
                 if not len(nth):
                     continue
-                key = keyed(anchor, buckets)
-                hit = is_key(key, doc, [joined_keys(keys[s.first + i].as_py() or []) for i in range(s.n)])
-                nth, doc, key = nth[hit], doc[hit], key[hit]
-                start = nth + first[doc]
-                held.append({
-                    "a": grams_hash(h, length)[start], "b": grams_hash(mix(h ^ np.uint64(0x5851F42D4C957F2D)), length)[start],
-                    "doc": own[s.first + doc], "at": nth, "part": (key >> np.uint64(32)).astype(np.int64),
-                })
+                hit = is_key(keyed(anchor, anchor_buckets), doc, [joined_keys(keys[s.first + i].as_py() or []) for i in range(s.n)])
+                nth, doc = nth[hit], doc[hit]
+                held.append((keyed(grams_hash(h, length)[nth + first[doc]], buckets), own[s.first + doc], nth))
                 size += len(nth)
                 if size >= FLUSH:
-                    yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}, buckets))
-                    held, size = [], 0
+                    yield from _in_batches(rows(held))
+                    size = 0
         if size:
-            yield from _in_batches(_window_rows({k: np.concatenate([x[k] for x in held]) for k in held[0]}, buckets))
+            yield from _in_batches(rows(held))
         trim()
 
-    def settle(table: pa.Table) -> pa.Table:
-        """Settled ranges pass; the windows of the bucket are compared."""
-        parts, docs, ats, out = [], [], [], []
-        for i, k, d in zip(*(table.column(c).to_pylist() for c in ("id", "keys", "docs")), strict=True):
-            if i is not None:
-                out.append((i, k))
+    def meet(table: pa.Table) -> pa.Table:
+        """Ranges that are known pass; the windows of the bucket meet."""
+        keys, docs, ats, out = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for i, k, d in zip(*(table.column(c) for c in ("id", "keys", "docs")), strict=True):
+            if i.is_valid:
+                out.append((i.as_py(), k.as_py()))
                 continue
-            parts.append(np.frombuffer(k, np.uint64).reshape(2, -1))
-            doc, used = unpack(d, parts[-1].shape[1])
+            keys.append(_from_planes(k.as_buffer()))
+            doc, used = unpack(d.as_buffer(), len(keys[-1]))
             docs.append(doc)
-            ats.append(unpack(d[used:], len(doc))[0])
-        if parts:
-            out.extend((i, k) for _, i, k, _ in range_rows(*_repeats(np.concatenate(parts, 1), np.concatenate(docs), np.concatenate(ats))))
+            ats.append(unpack(d.as_buffer()[used:], len(doc))[0])
+        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
+        order = np.lexsort((doc, key))
+        key, doc, at = key[order], doc[order], at[order]
+        bounds = run_bounds(key)
+        first, last = bounds[:-1], bounds[1:] - 1
+        mine = np.repeat((doc[first] != doc[last]) | (doc[first] == SEVERAL), np.diff(bounds)) & (doc != SEVERAL)
+        out.extend((i, k) for _, i, k, _ in range_rows(*_ranges(doc[mine], at[mine])))
+        return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
+
+    told = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
+    return hits_by_document(told.groupBy("part").applyInArrow(meet, _RANGES))
+
+
+def _spans(first: np.ndarray, last: np.ndarray, base: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows of a document, cut where the anchor changes: first and last window."""
+    count = last - first + 1
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (place[at[1:] + base] != place[at[:-1] + base])
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(at)) - 1 if len(at) else lo
+    return at[lo], at[hi]
+
+
+def compared_windows(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``_gone long, _ranges array<binary>``: starts of windows whose words, compared one by one, a smaller document has too.
+
+    ``candidates``: ``_id, _text, _keys``, the runs of windows to compare. The
+    words of a run go, cut into spans at anchors, to the anchors' buckets, where
+    windows are named by their words. Of equal spans of a task only that of the
+    smallest document is sent."""
+    gram = min(CUT, length)
+
+    def rows(held: dict[tuple, list]) -> Iterator[tuple]:
+        by_part: dict[int, list] = {}
+        done: dict[int, list] = {}
+        for (part, _, raw), (least, at, others) in held.items():
+            by_part.setdefault(part, []).append((raw, least, at))
+            for doc, there, n in others:
+                if doc > least:
+                    done.setdefault(doc, []).append((there, there + n - 1))
+                else:
+                    by_part[part].append((raw, doc, there))
+        held.clear()
+        for doc, pairs in done.items():
+            yield doc % buckets, doc, np.array(pairs, np.int64).tobytes(), None
+        for part, spans in by_part.items():
+            counts = np.array([raw.count(b" ") for raw, _, _ in spans])
+            yield part, None, b"".join(raw for raw, _, _ in spans), len(spans).to_bytes(4, "little") + pack(counts) + pack(np.array([d for _, d, _ in spans])) + pack(np.array([a for _, _, a in spans]))
+
+    def tell(batches):
+        held: dict[tuple, list] = {}
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, keys = batch.column("_id").to_pylist(), batch.column("_keys")
+            for s in slices(batch.column("_text")):
+                buf, start, end, of = s.bounds(lower=False)
+                anchor = grams_hash(spans_hash(buf, start, end), gram)
+                buf, offs = plain(buf, start, end)
+                words = np.searchsorted(of, np.arange(s.n + 1))
+                place = window_minimizers(anchor, length - gram + 1)
+                for i in range(s.n):
+                    runs = np.frombuffer(b"".join(keys[s.first + i].as_py() or []), np.int64).reshape(-1, 2)
+                    base, most = int(words[i]), int(words[i + 1] - words[i]) - length
+                    runs = runs[runs[:, 1] <= most]  # ranges of another text with the identifier may go beyond this one
+                    if not len(runs):
+                        continue
+                    doc = ids[s.first + i]
+                    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+                    far = np.maximum.accumulate(runs[:, 1])
+                    new = np.ones(len(runs), bool)
+                    new[1:] = runs[1:, 0] > far[:-1] + 1
+                    heads = np.flatnonzero(new)
+                    lo, hi = _spans(runs[heads, 0], far[np.append(heads[1:], len(runs)) - 1], base, place)
+                    parts = (anchor[place[lo + base]] % np.uint64(buckets)).astype(np.int64)
+                    for a, b, part in zip(lo.tolist(), hi.tolist(), parts.tolist(), strict=True):
+                        raw = buf[offs[base + a] : offs[base + b + length]].tobytes()
+                        own = held.setdefault((part, b - a, raw), [doc, a, []])
+                        if own[0] != doc or own[1] != a:
+                            if doc < own[0]:
+                                own[2].append((own[0], own[1], b - a + 1))
+                                own[0], own[1] = doc, a
+                            else:
+                                own[2].append((doc, a, b - a + 1))
+                            size += 64
+                        else:
+                            size += len(raw) + 300
+                if size >= SPAN_BYTES:
+                    yield from _in_batches(rows(held))
+                    size = 0
+        if size:
+            yield from _in_batches(rows(held))
+        trim()
+
+    def settle(table: pa.Table) -> pa.Table:
+        """Ranges that are settled pass; the windows of the bucket's spans are named."""
+        raws, counts, docs, ats, out = [], [], [], [], []
+        for i, k, d in zip(*(table.column(c) for c in ("id", "keys", "docs")), strict=True):
+            if i.is_valid:
+                out.append((i.as_py(), k.as_py()))
+                continue
+            raws.append(k.as_buffer())
+            said = d.as_buffer()
+            n, used = int.from_bytes(said[:4], "little"), 4
+            for col in (counts, docs, ats):
+                more, size = unpack(said[used:], n)
+                col.append(more)
+                used += size
+        if raws:
+            count, doc, at = np.concatenate(counts), np.concatenate(docs), np.concatenate(ats)
+            name = run_names(word_ids(b"".join(raws)), length)
+            room = count - length + 1
+            inside = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
+            name = name[np.repeat(np.cumsum(count) - count, room) + inside]
+            doc, at = np.repeat(doc, room), np.repeat(at, room) + inside
+            order = np.lexsort((doc, name))
+            name, doc, at = name[order], doc[order], at[order]
+            bounds = run_bounds(name)
+            gone = doc > np.repeat(doc[bounds[:-1]], np.diff(bounds))
+            out.extend((i, k) for _, i, k, _ in range_rows(*_ranges(doc[gone], at[gone])))
+        trim()
         return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
 
-    rows = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
-    settled = rows.groupBy("part").applyInArrow(settle, "id long, keys binary")
+    told = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
+    settled = told.groupBy("part").applyInArrow(settle, _RANGES)
     return settled.groupBy(F.col("id").alias("_gone")).agg(F.collect_list("keys").alias("_ranges"))
 
 
-def _repeats(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of the windows, of two hashes each, that a smaller document has too."""
-    order = np.lexsort((hashes[1], hashes[0]))
-    (a, b), doc, at = hashes[:, order], doc[order], at[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    first = np.flatnonzero(new)
-    gone = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
-    return _ranges(doc[gone], at[gone])
+def removed_words(docs: DataFrame, gone: DataFrame, length: int) -> DataFrame:
+    """``_id, _text, _starts, _ends`` of the documents of ``gone``, as maximal runs of words."""
+
+    both = docs.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", "_ranges")
+    return both.mapInArrow(lambda batches: covered_batches(batches, length), CUT_SCHEMA)
+
+
+def kept_words(words: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
+    """Words, joined by one space, without runs of them, and the number removed."""
+    space = np.concatenate([[-1], np.flatnonzero(np.frombuffer(words, np.uint8) == 32), [len(words)]])
+    kept, at, gone = [], 0, 0
+    for lo, hi in [*zip(starts.tolist(), ends.tolist(), strict=True), (len(space) - 1, len(space) - 1)]:
+        if lo > at:
+            kept.append(words[space[at] + 1 : space[lo]])
+        gone += hi - lo
+        at = hi
+    return b" ".join(kept), gone
 
 
 def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -213,31 +427,27 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Defined cases: a null text has no words; rows with one identifier are one
     document to each other and remove nothing of each other; a null identifier
     has no order, so nothing of it is removed and it removes nothing.
-    Identifiers are integers.
+    Identifiers are integers, 0 or more.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
 
-    @F.arrow_udf("struct<words: long, sha: string>")
-    def facts(text: pa.Array) -> pa.Array:
-        out = []
-        for t in text:
-            words = t.as_py().encode().split()
-            out.append({"words": len(words), "sha": hashlib.sha256(b" ".join(words)).hexdigest()})
-        return pa.array(out, pa.struct([("words", pa.int64()), ("sha", pa.string())]))
-
-    @F.arrow_udf("struct<removed: long, whole: string, sha: string>")
-    def digest(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for t, a, b in zip(text, starts.to_pylist(), ends.to_pylist(), strict=True):
-            words, kept, at = t.as_py().encode().split(), [], 0
-            for lo, hi in zip(a, b, strict=True):
-                kept += words[at:lo]
-                at = hi
-            kept += words[at:]
-            out.append({"removed": len(words) - len(kept), "whole": hashlib.sha256(b" ".join(words)).hexdigest(), "sha": hashlib.sha256(b" ".join(kept)).hexdigest()})
-        return pa.array(out, pa.struct([("removed", pa.int64()), ("whole", pa.string()), ("sha", pa.string())]))
-
-    index = WindowIndex(docs.sparkSession, length, gram)
+    def facts(batches):
+        for b in batches:
+            words = [joined_words(t.as_buffer().to_pybytes()) for t in b.column("_text")]
+            told = [pa.array([w.count(b" ") + 1 if w else 0 for w in words], pa.int64()), pa.array([hashlib.sha256(w).hexdigest() for w in words], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_id"), *told], ["_key", "_id", "_words", "_sha"])
+
+    def digest(batches):
+        for b in batches:
+            out = []
+            for t, r in zip(b.column("_text"), b.column("_ranges"), strict=True):
+                words = joined_words(t.as_buffer().to_pybytes())
+                kept, gone = kept_words(words, *covered(r.as_py(), length))
+                out.append((hashlib.sha256(words).hexdigest(), gone, hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], ["_cid", "_csha", "_n", "_kept"])
+
+    index = WindowIndex(docs.sparkSession, length=length, gram=gram)
     texts = rows.select("_id", "_text")
     cuts = rows.select(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
@@ -248,13 +458,15 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if hi is not None:
             batch = batch.where(F.col("_id") <= hi)
         index.add(batch)
-    cut = index.resolve(texts).select(F.col("_id").alias("_cid"), digest("_text", "_starts", "_ends").alias("_d"))
-    cut = cut.select("_cid", "_d", F.col("_d.whole").alias("_csha")).dropDuplicates(["_cid", "_csha"])
-    out = rows.select("_key", "_id", facts("_text").alias("_f")).select("_key", "_id", F.col("_f.words").alias("_words"), F.col("_f.sha").alias("_sha"))
+    gone = written(index.removed(texts), "removed")
+    index.drop()
+    cut = texts.join(gone, F.col("_id") == F.col("_gone")).select("_id", "_text", "_ranges")
+    cut = cut.mapInArrow(digest, "_cid long, _csha string, _n long, _kept string").dropDuplicates(["_cid", "_csha"])
+    out = rows.mapInArrow(facts, f"_key {docs.schema[id_col].dataType.simpleString()}, _id long, _words long, _sha string")
     out = out.join(cut, (F.col("_id") == F.col("_cid")) & (F.col("_sha") == F.col("_csha")), "left")
     return out.select(
         F.col("_key").alias(id_col),
         F.col("_words").alias("n_words"),
-        F.coalesce(F.col("_d.removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.col("_d.sha"), F.col("_sha")).alias("kept_sha256"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_kept", "_sha").alias("kept_sha256"),
     )
