@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,10 +30,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     node with itself and null ends say nothing and are ignored."""
     edges = written(links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not edges.isEmpty():
-        edges = written(_small_star(_large_star(edges)), "stars")
+        old, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        forget(old)
         # Done when every node has one link, to a node that has none: then stars are components.
         ends = edges.select(F.col("b").alias("a")).distinct()
         again = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
         if edges.join(ends, "a", "left_semi").select("a").union(again).isEmpty():
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._stored = edges._stored
+    return out

@@ -11,46 +11,42 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .fingerprints import bucket_count, is_key, joined_keys, keyed, run_bounds, shared_fingerprints
-from .grid import Slice, grams_hash, mix, slices, trim
-from .shared import written
+from .grid import SLICE, Slice, grams_hash, mix, plain, run_names, slices, spans_hash, trim, word_ids
+from .shared import forget, written
 
 #: Words in an n-gram, and the least similarity in percent.
 N, PERCENT = 5, 80
 #: Hash buckets in which n-grams are counted over all documents; their counts (8 bytes each) are what the driver and the tasks hold.
+#: An n-gram that is more than a millionth of all stands out in its bucket, however large the input; the others are about as rare as their buckets say.
 COUNTERS = 1 << 20
-_BLOCKS = 16
-#: Bytes of a set's parity bits, for the suffix filter.
-PARITY = 32
+_BLOCKS = 256
+#: Parts of the n-grams, by hash, in which the suffix filter counts a set's suffix; at most 256.
+PARTS = 32
 #: Rounds in which entries meet one pivot before all pairs across components do, and pivots of an n-gram in a round.
 ROUNDS, PIVOTS = 4, 8
 #: Entries that a task gathers before it sends them.
 FLUSH = 1 << 18
 
 
-def shingles(s: Slice, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Document and 64-bit hash of the distinct n-grams of a slice, sorted by both.
+def shingles(s: Slice, n: int = N, second: bool = False) -> tuple[np.ndarray, ...]:
+    """Document and 64-bit hash of the distinct n-grams of a slice, sorted by both; with ``second``, also another, independent hash.
 
     A document with fewer than n words has its whole sequence as one."""
-    _, _, doc, h = s.words(lower=True)
+    buf, start, end, doc = s.bounds(lower=True)
+    hashes = [spans_hash(buf, start, end, key) for key in range(1 + second)]
     if not len(doc):
-        return doc, h
-    gram = grams_hash(h, n)
-    whole = doc[: len(gram)] == doc[n - 1 :] if len(gram) else np.zeros(0, bool)
-    gram, gram_doc = gram[whole], doc[: len(whole)][whole]
+        return (doc, *hashes)
+    whole = doc[: max(len(doc) - n + 1, 0)] == doc[n - 1 :]
     count = np.bincount(doc, minlength=s.n)
     first = np.cumsum(count) - count
-    parts, part_docs = [gram], [gram_doc]
-    for k in range(1, n):
-        short = np.flatnonzero(count == k)
-        if len(short):
-            parts.append(grams_hash(h, k)[first[short]])
-            part_docs.append(short)
-    gram, doc = np.concatenate(parts), np.concatenate(part_docs)
-    order = np.lexsort((gram, doc))
-    gram, doc = gram[order], doc[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], gram[new]
+    short = [np.flatnonzero(count == k) for k in range(1, n)]
+    docs = np.concatenate([doc[: len(whole)][whole], *short])
+    grams = [np.concatenate([grams_hash(h, n)[whole], *(grams_hash(h, k)[first[at]] for k, at in enumerate(short, 1) if len(at))]) for h in hashes]
+    order = np.lexsort((grams[0], docs))
+    docs, grams = docs[order], [g[order] for g in grams]
+    new = np.ones(len(docs), bool)
+    new[1:] = (grams[0][1:] != grams[0][:-1]) | (docs[1:] != docs[:-1])
+    return (docs[new], *(g[new] for g in grams))
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -58,22 +54,22 @@ def _slot(gram: np.ndarray) -> np.ndarray:
 
 
 def set_facts(docs: DataFrame, n: int) -> DataFrame:
-    """Rows ``id, n, s1, s2`` (size and 128-bit signature of each document's set), and
-    rows ``block, counts`` with each task's counts of n-grams by hash bucket."""
+    """Rows ``id, n, s1, s2`` (size of each document's set, and a signature of 128 bits from two independent hashes of
+    its words), and rows ``block, counts`` with each task's counts of n-grams by hash bucket."""
 
     def tell(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for b in batches:
             sizes, sig1, sig2 = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
             for s in slices(b.column("_text")):
-                doc, gram = shingles(s, n)
+                doc, gram, other = shingles(s, n, second=True)
                 counts += np.bincount(_slot(gram), minlength=COUNTERS)
                 bounds = run_bounds(doc)
                 if len(doc):
                     at = s.first + doc[bounds[:-1]]
                     sizes[at] = np.diff(bounds)
                     sig1[at] = np.add.reduceat(mix(gram), bounds[:-1])
-                    sig2[at] = np.add.reduceat(mix(gram ^ np.uint64(0xA0761D6478BD642F)), bounds[:-1])
+                    sig2[at] = np.add.reduceat(mix(other), bounds[:-1])
             none = pa.nulls(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "n", "s1", "s2", "block", "counts"])
         if counts.any():
@@ -94,16 +90,23 @@ def _widened(raw: bytes) -> np.ndarray:
 
 
 def gram_counts(facts: DataFrame) -> np.ndarray:
-    """Counts of n-grams by hash bucket over all documents: COUNTERS numbers, whatever the input."""
+    """Counts of n-grams by hash bucket over all documents: COUNTERS numbers, whatever the input.
 
-    def total(table: pa.Table) -> pa.Table:
-        out = sum(_widened(x.as_py()) for x in table.column("counts"))
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+    The tasks' counts are summed as they stream by, a block of buckets a group."""
+    size = COUNTERS // _BLOCKS
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, block = np.zeros(size, np.int64), None
+        for b in batches:
+            block = b.column("block")[0] if block is None and b.num_rows else block
+            for x in b.column("counts"):
+                out += _widened(x.as_py())
+        if block is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "counts"])
 
     counts = np.zeros(COUNTERS, np.int64)
     rows = facts.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(total, "block int, counts binary")
-    for r in rows.toLocalIterator():
-        size = COUNTERS // _BLOCKS
+    for r in rows.collect():
         counts[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
     return counts
 
@@ -131,33 +134,35 @@ def _passes(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int
     """Length, positional and suffix filter of entries i and j of one n-gram.
 
     A pair that reaches the similarity passes at the first n-gram that both
-    prefixes have: what can still follow in both sets is enough, and so is what
-    the parities leave. Each n-gram flips one of a set's parity bits, so bits
-    that differ are n-grams that only one of the sets has."""
+    prefixes have. What can still follow there in both sets must be enough, and
+    so must what the suffixes, the n-grams after it in the order, can share:
+    parts that differ by c in their counts hold c n-grams that only one has."""
     ni, nj = x["n"][i], x["n"][j]
     least = _least_overlap(ni, nj, percent)
     ok = 100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj)
-    ok &= 1 + np.minimum(ni - x["at"][i], nj - x["at"][j]) - 1 >= least
+    ok &= np.minimum(ni - x["at"][i], nj - x["at"][j]) >= least
     at = np.flatnonzero(ok)
-    parity = x["parity"]
-    apart = np.bitwise_count(parity[i[at]] ^ parity[j[at]]).sum(1, dtype=np.int64)
-    ok[at] = apart <= (ni + nj - 2 * least)[at]
+    after = (ni - x["at"][i] - 1 + nj - x["at"][j] - 1)[at]
+    for block in np.array_split(np.arange(len(at)), max(1, len(at) >> 16)):
+        mine, theirs = x["suffix"][i[at[block]]].astype(np.int16), x["suffix"][j[at[block]]]
+        apart = np.abs(mine - theirs).sum(1, dtype=np.int64)
+        ok[at[block]] = apart <= after[block] - 2 * (least[at[block]] - 1)
     return ok
 
 
 def _entries(table: pa.Table) -> dict[str, np.ndarray]:
     """The entries of a bucket, by n-gram, then size, then document."""
-    keys, meta, parity = [], [], []
-    for k, d in zip(table.column("keys").to_pylist(), table.column("docs").to_pylist(), strict=True):
-        key = np.frombuffer(k, np.uint32)
-        m = len(key)
+    keys, meta, suffix = [], [], []
+    for k, d in zip(table.column("keys"), table.column("docs"), strict=True):
+        key = np.frombuffer(k.as_buffer(), np.uint32)
+        m, raw = len(key), d.as_buffer()
         keys.append(key)
-        meta.append(np.frombuffer(d, np.int64, 4 * m).reshape(4, m))
-        parity.append(np.frombuffer(d, np.uint64, PARITY // 8 * m, 32 * m).reshape(m, PARITY // 8))
+        meta.append(np.frombuffer(raw, np.int64, 4 * m).reshape(4, m))
+        suffix.append(np.frombuffer(raw, np.uint8, PARTS * m, 32 * m).reshape(m, PARTS))
     key = np.concatenate(keys)
     doc, n, at, comp = np.concatenate(meta, 1)
     order = np.lexsort((doc, n, key))
-    return {"key": key[order], "doc": doc[order], "n": n[order], "at": at[order], "comp": comp[order], "parity": np.concatenate(parity)[order]}
+    return {"key": key[order], "doc": doc[order], "n": n[order], "at": at[order], "comp": comp[order], "suffix": np.concatenate(suffix)[order]}
 
 
 def _pivots(x: dict[str, np.ndarray], percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,19 +196,25 @@ def _pivots(x: dict[str, np.ndarray], percent: int, turn: int) -> tuple[np.ndarr
 
 
 def _mixed(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of one n-gram whose documents aren't yet in one component, and that pass the filters."""
+    """Entries of one n-gram whose documents aren't yet in one component, and that pass the filters.
+
+    Entries are in order of size, so each meets only those of sizes that can be similar."""
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     bounds = run_bounds(x["key"])
     low, high = np.minimum.reduceat(x["comp"], bounds[:-1]), np.maximum.reduceat(x["comp"], bounds[:-1])
     for g in np.flatnonzero(low != high):
         lo, hi = bounds[g], bounds[g + 1]
-        comp = x["comp"][lo:hi]
-        names, number, size = np.unique(comp, return_inverse=True, return_counts=True)
-        others = np.flatnonzero(number != np.argmax(size))  # the largest component's own entries needn't be compared
-        every = np.arange(hi - lo)
-        for block in np.array_split(others, max(1, len(others) * (hi - lo) >> 20)):
-            i, j = np.repeat(block, hi - lo), np.tile(every, len(block))
-            want = (number[i] != number[j]) & ((number[j] == np.argmax(size)) | (i < j))
+        _, number, size = np.unique(x["comp"][lo:hi], return_inverse=True, return_counts=True)
+        largest, n = int(np.argmax(size)), x["n"][lo:hi]
+        others = np.flatnonzero(number != largest)  # the largest component's own entries needn't be compared
+        left = np.searchsorted(n, -(-percent * n[others] // 100))
+        count = np.searchsorted(n, 100 * n[others] // percent, side="right") - left
+        cuts = [0, *np.searchsorted(np.cumsum(count), np.arange(1 << 20, count.sum(), 1 << 20)), len(others)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            c = count[a:b]
+            i = np.repeat(others[a:b], c)
+            j = np.repeat(left[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            want = (number[i] != number[j]) & ((number[j] == largest) | (i < j))
             i, j = i[want] + lo, j[want] + lo
             ok = _passes(x, i, j, percent)
             out_i.append(i[ok])
@@ -211,10 +222,21 @@ def _mixed(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _suffixes(order: np.ndarray, total: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place, how many n-grams of the set after it are in each part; 255 for more.
+
+    ``order`` has the parts of the prefix's n-grams, ``total`` those of all."""
+    if not len(places):
+        return np.zeros((0, PARTS), np.uint8)
+    seen = np.zeros((int(places.max()) + 1, PARTS), np.uint32)
+    seen[np.arange(len(seen)), order[: len(seen)]] = 1
+    return np.minimum(total - np.cumsum(seen, 0, dtype=np.uint32)[places], 255).astype(np.uint8)
+
+
 def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFrame:
     """``x, y, shared``: pairs of documents that meet in an n-gram of both prefixes and pass the filters.
 
-    ``sets``: id, n, tokens, places, parity, comp. In a ``turn`` each entry meets
+    ``sets``: id, n, tokens, places, order, total, comp. In a ``turn`` each entry meets
     only a pivot of its n-gram, so pairs grow with the entries, not their
     square; with None, the entries of other components."""
 
@@ -222,21 +244,21 @@ def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFram
         from .fingerprints import _in_batches
 
         def rows(held: list[tuple]) -> Iterator[tuple]:
-            key, doc, n, at, comp, parity = (np.concatenate([h[i] for h in held]) for i in range(6))
+            key, doc, n, at, comp, suffix = (np.concatenate([h[i] for h in held]) for i in range(6))
             order = np.argsort(key, kind="stable")
             part = (key[order] >> np.uint64(32)).astype(np.int64)
             bounds = run_bounds(part)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 mine = order[lo:hi]
                 meta = np.stack([doc[mine], n[mine], at[mine], comp[mine]]).astype(np.int64)
-                yield int(part[lo]), None, key[mine].astype(np.uint32).tobytes(), meta.tobytes() + parity[mine].tobytes()
+                yield int(part[lo]), None, key[mine].astype(np.uint32).tobytes(), meta.tobytes() + suffix[mine].tobytes()
 
         held, size = [], 0
         for b in batches:
-            for i, n, tokens, places, parity, comp in zip(*(b.column(c).to_pylist() for c in ("id", "n", "tokens", "places", "parity", "comp")), strict=True):
-                key = np.frombuffer(tokens, np.uint64)
+            for i, n, tokens, places, order, total, comp in zip(*(b.column(c).to_pylist() for c in ("id", "n", "tokens", "places", "order", "total", "comp")), strict=True):
+                key, at = np.frombuffer(tokens, np.uint64), np.frombuffer(places, np.int32)
                 m = len(key)
-                held.append((key, np.full(m, i), np.full(m, n), np.frombuffer(places, np.int32), np.full(m, comp), np.tile(np.frombuffer(parity, np.uint8), (m, 1))))
+                held.append((key, np.full(m, i), np.full(m, n), at, np.full(m, comp), _suffixes(np.frombuffer(order, np.uint8), np.frombuffer(total, np.uint32), at)))
                 size += m
                 if size >= FLUSH:
                     yield from _in_batches(rows(held))
@@ -258,28 +280,37 @@ def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFram
         first = np.flatnonzero(new)
         return pa.table({"x": pa.array(a[first]), "y": pa.array(b[first]), "shared": pa.array(np.diff(np.append(first, len(a))).astype(np.int64))})
 
-    rows = sets.select("id", "n", "tokens", "places", "parity", "comp").mapInArrow(tell, "part int, id long, keys binary, docs binary")
+    rows = sets.select("id", "n", "tokens", "places", "order", "total", "comp").mapInArrow(tell, "part int, id long, keys binary, docs binary")
     met = rows.groupBy("part").applyInArrow(meet, "x long, y long, shared long")
     return met.groupBy("x", "y").agg(F.sum("shared").alias("shared"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Links ``a, b``: the pairs ``x, y`` whose sets reach the similarity, each compared once.
 
-    A set is moved once for each pair that it is in."""
+    Pairs are dropped by the n-grams' hashes first; those that are left are
+    compared by their words. Both joins are plain, so one with a document of very
+    many pairs can be split."""
 
     def compare(batches):
         for b in batches:
-            keep = []
-            for x, y, sets in zip(*(b.column(c).to_pylist() for c in ("x", "y", "sets")), strict=True):
-                ours, theirs = ([np.frombuffer(s["grams"], np.uint64) for s in sets if s["id"] == i] for i in (x, y))
-                keep.append(any(_reaches(p, q, percent) for p in ours for q in theirs))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            columns = [b.column(c) for c in ("p", "q", "v", "w")]
+            likely = [i for i in range(b.num_rows) if _reaches(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in columns[:2]), percent)]
+            keep = np.zeros(b.num_rows, bool)
+            held, size = [], 0
+            for i in likely:
+                held.append((i, columns[2][i].as_buffer(), columns[3][i].as_buffer()))
+                size += held[-1][1].size + held[-1][2].size
+                if size > SLICE:
+                    keep[[i for i, ok in _same_words(held, percent, n) if ok]] = True
+                    held, size = [], 0
+            keep[[i for i, ok in _same_words(held, percent, n) if ok]] = True
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep))
         trim()
 
-    ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("id"))
-    both = ends.join(sets.select("id", "grams"), "id").groupBy("x", "y").agg(F.collect_list(F.struct("id", "grams")).alias("sets"))
-    return both.mapInArrow(compare, "a long, b long")
+    mine = sets.select(F.col("id").alias("x"), F.col("grams").alias("p"), F.col("words").alias("v"))
+    theirs = sets.select(F.col("id").alias("y"), F.col("grams").alias("q"), F.col("words").alias("w"))
+    return pairs.join(mine, "x").join(theirs, "y").select("x", "y", "p", "q", "v", "w").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _reaches(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -288,6 +319,25 @@ def _reaches(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
+def _same_words(pairs: list[tuple[int, pa.Buffer, pa.Buffer]], percent: int, n: int) -> Iterator[tuple[int, bool]]:
+    """Whether the texts of pairs (words with a space behind each) reach the similarity; n-grams are compared word for word."""
+    if not pairs:
+        return
+    texts = [t for _, p, q in pairs for t in (p, q)]
+    raw = b"".join(texts)
+    ids = word_ids(raw)
+    names = run_names(ids, n)
+    first = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), np.cumsum([0, *(t.size for t in texts)]))
+    for k, (i, p, q) in enumerate(pairs):
+        a, b, c = first[2 * k : 2 * k + 3]
+        if min(b - a, c - b) < n:  # a short text is one n-gram of its own length
+            yield i, p == q
+            continue
+        x, y = np.unique(names[a : b - n + 1]), np.unique(names[b : c - n + 1])
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        yield i, 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``node, component`` after more links: those of components are joined, not those of their members."""
     for end in ("a", "b"):
@@ -296,15 +346,18 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     over = connected_components(links)
     known = comp.unionByName(over.select("node", F.col("node").alias("component")))
     to = over.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    return written(known.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), "components")
+    out = written(known.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")), "components")
+    forget(comp, over)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Groups of documents linked by sets of word n-grams: 100 |A & B| >= percent |A | B|.
 
     Words are runs other than space and controls 9 to 13, A-Z lower-cased; n-grams
-    are held as 64-bit hashes. Documents of equal sets are one class, by size and
-    128-bit signature, and its smallest identifier stands for it. n-grams
+    are held as 64-bit hashes, and pairs verified by words. Documents of equal sets
+    are one class, by size and a signature of 128 bits from two independent hashes
+    of the words, and its smallest identifier stands for it. n-grams
     are ordered rare first by counts over all documents, in COUNTERS hash
     buckets; classes whose prefixes share an n-gram meet there. In ROUNDS rounds each
     meets one pivot, the one it shares most n-grams with; the components of these
@@ -323,7 +376,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`")
     rows = docs.select(key.cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    buckets = bucket_count(docs)
+    buckets = bucket_count(spark)
     told = written(set_facts(rows, n), "set-facts")
     facts = told.where("block is null").select("id", "n", "s1", "s2")
     counts = spark.sparkContext.broadcast(gram_counts(told))
@@ -337,39 +390,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return doc[first], gram[first]
 
     def sets_of(batches):
-        for b in batches:
-            keys = b.column("_keys")
-            out = {k: [] for k in ("id", "n", "grams", "tokens", "places", "parity", "comp")}
-            ids = b.column("_id").to_pylist()
-            for s in slices(b.column("_text")):
+        kinds = {"id": pa.int64(), "n": pa.int64(), "grams": pa.binary(), "words": pa.binary(), "tokens": pa.binary(), "places": pa.binary(), "order": pa.binary(), "total": pa.binary()}
+        for batch in batches:
+            keys = batch.column("_keys")
+            ids = batch.column("_id").to_pylist()
+            for s in slices(batch.column("_text")):
+                out = {k: [] for k in kinds}
                 doc, gram, place, _, first = prefixes(s, counts.value, n, percent)
-                token = keyed(gram, buckets)
+                token, part = keyed(gram, buckets), (gram >> np.uint64(59)).astype(np.uint8)
                 hit = first & is_key(token, doc, [joined_keys(keys[s.first + i].as_py() or []) for i in range(s.n)])
                 bounds = np.searchsorted(doc, np.arange(s.n + 1))
+                buf, start, end, of = s.bounds(lower=True)
+                buf, offs = plain(buf, start, end)
+                word = offs[np.searchsorted(of, np.arange(s.n + 1))]
                 for i in range(s.n):
                     lo, hi = bounds[i], bounds[i + 1]
                     mine = hit[lo:hi]
-                    odd = np.bincount((gram[lo:hi] >> np.uint64(56)).astype(np.int64), minlength=8 * PARITY) & 1
                     out["id"].append(ids[s.first + i])
                     out["n"].append(int(hi - lo))
                     out["grams"].append(np.sort(gram[lo:hi]).tobytes())
+                    out["words"].append(buf[word[i] : word[i + 1]].tobytes())
                     out["tokens"].append(token[lo:hi][mine].tobytes())
                     out["places"].append(place[lo:hi][mine].astype(np.int32).tobytes())
-                    out["parity"].append(np.packbits(odd.astype(np.uint8)).tobytes())
-                    out["comp"].append(ids[s.first + i])
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+                    out["order"].append(part[lo:hi][first[lo:hi]].tobytes())
+                    out["total"].append(np.bincount(part[lo:hi], minlength=PARTS).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
         trim()
 
-    hits = shared_fingerprints(rows, rare)
+    hits = shared_fingerprints(rows, rare, buckets)
     hits = hits.join(copies.select(F.col("id").alias("_hit")), "_hit", "left_anti")
     found = rows.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
-    sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, tokens binary, places binary, parity binary, comp long"), "sets")
+    sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, words binary, tokens binary, places binary, order binary, total binary"), "sets")
 
-    sets_narrow = sets.select("id", "n", "tokens", "places", "parity")
+    sets_narrow = sets.select("id", "n", "tokens", "places", "order", "total")
     comp = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "x long, y long")
     turns: list[int | None] = [*range(ROUNDS), None]
+    done: list[DataFrame] = []
     while turns:
         turn = turns.pop(0)
         labelled = sets_narrow.join(comp, F.col("id") == F.col("node"), "left").select(*sets_narrow.columns, F.coalesce("component", "id").alias("comp"))
@@ -379,11 +436,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         fresh = written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
         tried = tried.union(fresh)
-        links = None if fresh.isEmpty() else written(verified(fresh, sets, percent), "links")
+        done.append(fresh)
+        links = None if fresh.isEmpty() else written(verified(fresh, sets, percent, n), "links")
         if links is None or links.isEmpty():
             turns = turns[-1:]  # pivots have nothing more to tell: all pairs that are left
             continue
         comp = _joined(comp, links)
+        forget(links)
+    forget(sets, *done)
     comp = comp.select(F.col("node").alias("class"), "component")
 
     named = facts.join(copies, "id", "left").withColumn("class", F.coalesce("class", "id")).join(comp, "class", "left")
