@@ -52,22 +52,27 @@ def mix_sources(
     """How often each document enters a mix in which every source has its target.
 
     Sources by code point, null last, weigh ``weights``, repeating. A source
-    with target T and S words takes each document floor(T/S) times for
-    certain; the fraction left, p, is the inclusion probability of one more
-    copy. Documents are ranked by the Pareto value (u/(1-u)) / (p/(1-p)), u a
-    hash of the identifier, and taken in that order until the source's words
-    are nearest to T. The place of the cut is found from sums over fixed bins
-    of the order; only the rows of the one bin that holds it are sorted, so no
-    source, however large, is sorted or held by one task.
-
-    Returns id, ``size``, ``source``, ``source_size``, ``target``, ``copies``, ``taken``.
-
-    Defined cases: a null or blank text has size 0 and takes 0; a null source is
-    a source of its own; a source without words has target 0; null identifiers
-    share one rank, and tied rows of the last bin are taken together in their
-    source's order of size; equal rows each get a row. More than MAX_SOURCES
-    sources raise an error. Rows, their order and the partitioning do not matter
-    to the result.
+    with target T and S words takes each document floor(T/S) times for certain.
+    The R words left are a Pareto order sample of one more copy: a document of s
+    words has the inclusion probability p = min(1, c s), with c such that the
+    expected words, the sum of p s, are R; documents with p = 1 are certain too.
+    All are ranked by the Pareto value, the random odds u/(1-u) (u is a hash of
+    the identifier) over the inclusion odds p/(1-p), and taken in that order up
+    to the sample's fixed size, which is counted in words: the place nearest to R.
+
+    c comes from the counts of the distinct sizes of a source. The place of the
+    cut is found from sums over fixed bins of the order; only the rows of the one
+    bin that holds it are sorted, so no source, however large, is sorted or held
+    by one task.
+
+    Returns id, ``size``, ``source``, ``source_size``, ``target``, ``copies``,
+    ``probability`` (of the sampled copy), ``taken``.
+
+    Defined cases: a null or blank text has size 0, probability 0 and takes 0; a
+    null source is a source of its own; a source without words has target 0; null
+    identifiers share one u, and tied rows are taken in order of size, then
+    identifier; equal rows each get a row. More than MAX_SOURCES sources raise an
+    error. Rows, their order and the partitioning do not matter to the result.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -83,10 +88,10 @@ def mix_sources(
     plan = []
     for (source, s), t in zip(totals, targets, strict=True):
         whole = int(t // s) if s else 0
-        plan.append((source, s, t, whole, t / s - whole if s else 0.0, t - whole * s))
+        plan.append((source, s, t, whole, t - whole * s))
     schema = T.StructType([
         T.StructField("_source", T.StringType()), T.StructField("_s", T.LongType()), T.StructField("_t", T.DoubleType()),
-        T.StructField("_whole", T.LongType()), T.StructField("_p", T.DoubleType()), T.StructField("_need", T.DoubleType()),
+        T.StructField("_whole", T.LongType()), T.StructField("_need", T.DoubleType()),
     ])
     by_source = spark.createDataFrame(plan, schema)
 
@@ -95,10 +100,21 @@ def mix_sources(
         right = F.broadcast(right) if len(plan) <= 10_000 else right
         return left.join(right, left["_source"].eqNullSafe(right["_key"]), "left").drop("_key")
 
+    # The rate c of each source: with all sizes over s certain, c = (R - their words) / sum of the other sizes squared;
+    # the largest s with c s < 1 is where certainty ends. Sums are exact, so their order doesn't matter.
+    sizes = rows.where("_size > 0").groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    words, squares = F.col("_n") * F.col("_size"), (F.col("_n") * F.col("_size")).cast("decimal(38,0)") * F.col("_size")
+    larger = Window.partitionBy("_source").orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("_source").orderBy(F.desc("_size")).rowsBetween(0, Window.unboundedFollowing)
+    rate = (F.col("_need") - F.coalesce(F.sum(words).over(larger), F.lit(0))) / F.sum(squares.cast("decimal(38,0)")).over(rest).cast("double")
+    rates = of_source(sizes, by_source).where("_need > 0").select("_source", "_size", rate.alias("_c")).where(F.col("_c") * F.col("_size") < 1)
+    rates = rates.groupBy("_source").agg(F.max_by("_c", "_size").alias("_c"))
+
+    chance = F.when(F.col("_size") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("_c"), F.lit(0.0)) * F.col("_size")))
     odds = F.col("_u") / (1 - F.col("_u"))
-    # With p = 0 nothing more is taken; else Q in (0, inf), and Q/(1+Q) in (0, 1).
+    # With p = 0 nothing more is taken; else Q in [0, inf), and Q/(1+Q) in [0, 1).
     q = F.when(F.col("_p") > 0, odds * (1 - F.col("_p")) / F.col("_p"))
-    ranked = of_source(rows, by_source).withColumn("_q", q).withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))
+    ranked = of_source(of_source(rows, by_source), rates).withColumn("_p", chance).withColumn("_q", q).withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))
     sums = ranked.where(F.col("_q").isNotNull()).groupBy("_source", "_bin").agg(F.sum("_size").alias("_in_bin"), F.first("_need").alias("_need"))
     cum = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -121,5 +137,6 @@ def mix_sources(
         F.col("_s").alias("source_size"),
         F.col("_t").alias("target"),
         copies.alias("copies"),
+        F.col("_p").alias("probability"),
         (copies * F.col("_size")).alias("taken"),
     )

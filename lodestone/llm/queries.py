@@ -144,8 +144,19 @@ WITH d AS (
   SELECT source, s, CASE WHEN lvl.level IS NULL THEN 2.0::DOUBLE * s ELSE least(w * lvl.level, 2.0::DOUBLE * s) END AS t FROM l, lvl
 ), p AS (
   SELECT source, s, t, CASE WHEN s > 0 THEN floor(t / s) ELSE 0 END AS whole FROM t
+), n AS (
+  SELECT source, size, count(*)::BIGINT AS n FROM d WHERE size > 0 GROUP BY ALL
+), m AS (
+  SELECT n.source, size, t - whole * s AS need,
+         coalesce(sum(n * size) OVER larger, 0) AS sure, sum(n * size * size) OVER others AS squares
+  FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
+  WINDOW larger AS (PARTITION BY n.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         others AS (PARTITION BY n.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), k AS (
+  SELECT source, arg_max(c, size) AS c FROM (SELECT *, (need - sure) / squares AS c FROM m WHERE need > 0) WHERE c * size < 1 GROUP BY source
 ), q AS (
-  SELECT d.*, p.s, p.t, p.whole, CASE WHEN p.s > 0 THEN p.t / p.s - p.whole ELSE 0 END AS f FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT d.*, p.s, p.t, p.whole, CASE WHEN d.size = 0 THEN 0 ELSE least(1::DOUBLE, coalesce(k.c, 0) * d.size) END AS f
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source
 ), r AS (
   SELECT *, CASE WHEN f > 0 THEN (u / (1 - u)) * (1 - f) / f END AS v FROM q
 ), c AS (
