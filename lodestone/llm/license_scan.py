@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -84,17 +84,16 @@ class Scanner:
         """Number of words, and spans: label, first and last word, edits, whether a base phrase."""
         norm = normalised(text or "")
         n_words = norm.count(b" ") - 1
-        found = []
+        places: list[tuple[str, int, int, int, bool]] = []  # as spans, but in bytes
         for phrase, label in self.base:
             p = norm.find(phrase)
             while p >= 0:
-                first = norm.count(b" ", 0, p)
-                found.append((label, first, first + phrase.count(b" ") - 2, 0, True))
+                places.append((label, p + 1, p + len(phrase) - 1, 0, True))
                 p = norm.find(phrase, p + 1)
         flat = norm.decode("latin-1")
         regions: dict[int, list[list[int]]] = {}
-        for end, (size, places) in self.seeds.iter(flat):
-            for i, offset in places:
+        for end, (size, seeds_at) in self.seeds.iter(flat):
+            for i, offset in seeds_at:
                 notice, _, k, _ = self.notices[i]
                 begin = end + 1 - size - offset
                 lo, hi = max(begin - k, 0), min(begin + len(notice) + k, len(flat))
@@ -106,27 +105,33 @@ class Scanner:
                     mine.append([lo, hi])
         for i, mine in regions.items():
             notice, label, k, pattern = self.notices[i]
-            for lo, hi in _joined(mine):
-                while hi - lo >= len(notice) - k and (m := pattern.search(flat, lo, hi)):
-                    a, b = m.span()
-                    while a < b and flat[a] == " ":
-                        a += 1
-                    while b > a and flat[b - 1] == " ":
-                        b -= 1
-                    first = norm.count(b" ", 0, a + 1) - 1
-                    found.append((label, first, first + norm.count(b" ", a, b), sum(m.fuzzy_counts), False))
-                    lo = max(m.end(), lo + 1)
-        return n_words, found
-
-
-def _joined(regions: list[list[int]]) -> list[list[int]]:
+            left = _joined(mine)
+            while left:
+                lo, hi = left.pop()
+                if hi - lo < len(notice) - k or not (m := pattern.search(flat, lo, hi)):
+                    continue
+                a, b = m.span()
+                left += [(lo, a), (b, hi)]  # what stands beside the best match may match too
+                while a < b and flat[a] == " ":
+                    a += 1
+                while b > a and flat[b - 1] == " ":
+                    b -= 1
+                places.append((label, a, b, sum(m.fuzzy_counts), False))
+        if not places:
+            return n_words, []
+        spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+        word = lambda at: int(np.searchsorted(spaces, at, side="right")) - 1
+        return n_words, sorted((label, word(a), word(b - 1), edits, base) for label, a, b, edits, base in places)
+
+
+def _joined(regions: list[list[int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(regions):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
-    return out
+    return [(lo, hi) for lo, hi in out]
 
 
 @lru_cache(maxsize=4)
@@ -148,10 +153,13 @@ def scan_licenses(
     words one space. A notice of n characters may have n // chars_an_edit edits;
     it is split into one more exact seed than that, by the pigeonhole principle
     one of them survives, an automaton finds the seeds, and the regex library
-    matches the notice with bounded errors around them. Base phrases are found
+    matches the notice with bounded errors around them. The best match of a region
+    is taken, then what stands on either side of it is searched, so a place
+    without a span of its notice overlaps a better one. Base phrases are found
     word for word.
 
-    Returns id, ``n_words``, ``spans`` (label, first and last word from 0, edits, base).
+    Returns id, ``n_words``, ``spans`` (label, first and last word from 0, edits,
+    base), in that order.
 
     Defined cases: a null text has no words; overlapping places of a base phrase
     all count; fuzzy matches of one notice do not overlap; equal rows each get a
@@ -174,11 +182,11 @@ def scan_licenses(
     return rows.select(F.col("_id").alias(id_col), F.col("_s.n_words").alias("n_words"), F.col("_s.spans").alias("spans"))
 
 
-def license_digest(scanned: DataFrame, id_col: str, notices: Sequence[str] = tuple(NOTICES)) -> DataFrame:
+def license_digest(scanned: DataFrame, id_col: str) -> DataFrame:
     """Places, labels and score of each document from its spans.
 
-    The score is 1 for a word-for-word phrase, else the largest share of a fuzzy
-    notice's edit budget left, in 0.5 to 1, and 0 without any span."""
+    The score is that of the best span, 1 / (1 + edits / 4), so 1 for a
+    word-for-word phrase; it is 0 without any span."""
     base = F.filter("spans", lambda s: s["base"])
     names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     score = F.array_max(F.transform("spans", lambda s: F.when(s["base"], 1.0).otherwise(1.0 / (1.0 + s["edits"] * 0.25))))
