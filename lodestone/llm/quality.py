@@ -13,7 +13,7 @@ from pyspark.sql.column import Column
 from .grid import Slice, run_bounds, slices, spans_hash, trim
 from .shared import held_out
 
-#: Most labelled rows that are fitted: those with the smallest md5 of the identifier.
+#: Most labelled rows that are fitted: one a labelled identifier, those with the smallest md5 of it.
 MAX_ROWS = 20_000
 
 FEATURES = (
@@ -211,7 +211,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     At most ``max_rows`` labelled rows are fitted, those whose identifiers have
     the smallest md5; only their features come to the driver. Labels with a null
     identifier or a null label are ignored; of several labels of one document the
-    largest counts. Features are of the text alone.
+    largest counts, of several documents with one identifier the one whose
+    features are least. Features are of the text alone.
     """
     lid, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
     picked = (
@@ -227,7 +228,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = text_features(b.column("_text"))
             yield pa.RecordBatch.from_arrays([b.column("_rank"), b.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], ["rank", "y", "x"])
 
-    got = rows.select("_rank", "_y", "_text").mapInArrow(featured, "rank string, y int, x array<double>").toArrow()
+    # One row an identifier, so no more rows than labels were picked.
+    told = rows.select("_rank", "_y", "_text").mapInArrow(featured, "rank string, y int, x array<double>")
+    got = told.groupBy("rank").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(FEATURES))
     rank = np.array(got.column("rank").to_pylist(), dtype="U32")
     order = np.lexsort((*x.T[::-1], rank)) if len(got) else np.zeros(0, np.int64)  # the same order in every run
