@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,20 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import STEP, mix
 from .shared import held_out
 
 #: Grams in a profile, of a language and of a document.
 PROFILE = 300
 #: Longest gram, in characters.
-LONGEST = 3
+LONGEST = 5
 #: Most documents of a language that its profile is learnt from: those with the smallest md5 of the identifier.
 MAX_DOCS = 2_000
-#: Characters joined for one pass; a longer document is a pass of its own.
-PASS_CHARS = 1 << 20
+#: Characters handled in one pass; a longer document comes in pieces, cut where no letter is.
+PASS_CHARS = 1 << 18
 
-_CODE_BITS = 21  # of a code point, so three fit in 63 bits
-_ID_BITS = 10  # of a letter of the profiles, so three fit in 32 bits
-PAD, OTHER = 1, (1 << _ID_BITS) - 1
+#: Languages whose profiles the driver and the tasks may hold; more is an error, never a cut.
+MAX_LANGS = 10_000
+
+PAD = 1
 _letters: list[np.ndarray] = []
 
 
@@ -49,19 +52,21 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(letter, code, PAD)[keep].astype(np.int64), (np.cumsum(keep) - 1)[starts], letters > 0
 
 
-def grams(sym: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Keys of the grams of 1 to LONGEST symbols that start at each symbol; 0 where none does.
+def grams(sym: np.ndarray) -> list[np.ndarray]:
+    """64-bit keys of the grams of 1 to LONGEST symbols that start at each symbol; 0 where none does.
 
-    A gram has padding at its ends only and isn't padding alone."""
-    out, key, inner = [], sym, np.ones(len(sym), bool)
+    A gram has padding at its ends only and isn't padding alone. A key is a hash
+    of the code points, so any alphabet goes."""
+    out, key, pad = [], mix(sym.astype(np.uint64)), sym == PAD
+    clear = ~pad  # no padding from the second symbol to the last but one
     for n in range(1, LONGEST + 1):
         m = max(len(sym) - n + 1, 0)
         if n > 1:
-            key = (key[:m] << bits) | sym[n - 1 :]
-            if n > 2:
-                inner = inner[:m] & (sym[n - 2 : n - 2 + m] != PAD)
-        some = sym[:m] != PAD if n == 1 else (sym[:m] != PAD) | (sym[n - 1 :] != PAD) if n == 2 else inner[:m]
-        out.append(np.where(some, key[:m], 0))
+            key = mix(key[:m] * STEP + sym[n - 1 :].astype(np.uint64))
+        if n > 2:
+            clear = ~pad[1 : 1 + m] if n == 3 else clear[:m] & ~pad[n - 2 : n - 2 + m]
+        some = ~pad if n == 1 else ~(pad[:m] & pad[1 : 1 + m]) if n == 2 else clear[:m]
+        out.append(np.where(some, key[:m], np.uint64(0)))
     return out
 
 
@@ -69,54 +74,78 @@ def grams(sym: np.ndarray, bits: int) -> list[np.ndarray]:
 class Profiles:
     """Language profiles over one vocabulary of grams.
 
-    ``alphabet`` holds the letters of the profiles, sorted; other letters share
-    one symbol. ``vocab`` is sorted; ``ranks[v, l]`` is the rank of gram v in
-    language l, or PROFILE where l lacks it."""
+    ``vocab`` holds the grams' keys, sorted; ``ranks[v, l]`` is the rank of gram
+    v in language l, or PROFILE where l lacks it."""
 
     langs: list[str]
-    alphabet: np.ndarray
     vocab: np.ndarray
     ranks: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         row = 0
-        while row < len(texts):
+        while row < len(texts) and self.langs:
             chars, stop = 0, row
             while stop < len(texts) and (stop == row or chars + len(texts[stop] or "") <= PASS_CHARS):
                 chars += len(texts[stop] or "")
                 stop += 1
-            self._pass([t or "" for t in texts[row:stop]], row, langs, scores)
+            for i, found in enumerate(counts_of([t or "" for t in texts[row:stop]]), row):
+                if found is not None:
+                    langs[i], scores[i] = self._nearest(*found)
             row = stop
         return langs, scores
 
-    def _pass(self, texts: list[str], row: int, langs: list[str], scores: list[float]) -> None:
-        sym, bounds, has = symbols(texts)
-        if not self.langs or not has.any():
-            return
-        place = np.minimum(np.searchsorted(self.alphabet, sym), len(self.alphabet) - 1)
-        ids = np.where(sym == PAD, PAD, np.where(self.alphabet[place] == sym, place + 2, OTHER))
-        keyed = [g.astype(np.uint32) for g in grams(ids, _ID_BITS)]
-        for i in np.flatnonzero(has):
-            lo, hi = bounds[i], bounds[i + 1]  # the PADs around the text
-            keys = np.concatenate([g[lo : hi + 2 - n] for n, g in enumerate(keyed, 1)])
-            keys.sort()
-            first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-            count, uniq = np.diff(np.append(first, len(keys))), keys[first]
-            if uniq[0] == 0:  # places without a gram
-                uniq, count = uniq[1:], count[1:]
-            # Most frequent first, ties by key: both in one sortable number.
-            order = (((np.int64(1) << 31) - 1 - count) << 32) | uniq.astype(np.int64)
-            if len(order) > PROFILE:
-                order = np.partition(order, PROFILE - 1)[:PROFILE]
-            order.sort()
-            top = (order & 0xFFFFFFFF).astype(np.uint32)
-            at = np.minimum(np.searchsorted(self.vocab, top), len(self.vocab) - 1)
-            theirs = np.where((self.vocab[at] == top)[:, None], self.ranks[at], PROFILE)
-            apart = np.where(theirs == PROFILE, PROFILE, np.abs(theirs - np.arange(len(top))[:, None])).sum(0)
-            best = int(np.argmin(apart))
-            langs[row + i] = self.langs[best]
-            scores[row + i] = float(1 - apart[best] / (PROFILE * len(top)))
+    def _nearest(self, uniq: np.ndarray, count: np.ndarray) -> tuple[str, float]:
+        # Most frequent first, ties by key: both in one sortable number.
+        order = (((np.int64(1) << 31) - 1 - count) << 32) | np.arange(len(uniq))
+        if len(order) > PROFILE:
+            order = np.partition(order, PROFILE - 1)[:PROFILE]
+        order.sort()
+        top = uniq[order & 0xFFFFFFFF]
+        at = np.minimum(np.searchsorted(self.vocab, top), len(self.vocab) - 1)
+        theirs = np.where((self.vocab[at] == top)[:, None], self.ranks[at], PROFILE)
+        apart = np.where(theirs == PROFILE, PROFILE, np.abs(theirs - np.arange(len(top))[:, None])).sum(0)
+        best = int(np.argmin(apart))
+        return self.langs[best], float(1 - apart[best] / (PROFILE * len(top)))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = min(at + PASS_CHARS, len(text))
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def counts_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Distinct grams of each text, in order of their keys, with counts; None for a text without a letter."""
+    if len(texts) == 1 and len(texts[0]) > PASS_CHARS:
+        uniq, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for piece in _pieces(texts[0]):
+            for found in counts_of([piece]) if len(piece) <= PASS_CHARS else _counted([piece]):
+                if found is not None:
+                    keys, at = np.unique(np.concatenate([uniq, found[0]]), return_inverse=True)
+                    uniq, count = keys, np.bincount(at, np.concatenate([count, found[1]]), len(keys)).astype(np.int64)
+        yield (uniq, count) if len(uniq) else None
+    else:
+        yield from _counted(texts)
+
+
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    sym, bounds, has = symbols(texts)
+    keyed = grams(sym) if has.any() else []
+    for i in range(len(texts)):
+        if not has[i]:
+            yield None
+            continue
+        lo, hi = bounds[i], bounds[i + 1]  # the PADs around the text
+        keys = np.concatenate([g[lo : max(hi + 2 - n, lo)] for n, g in enumerate(keyed, 1)])
+        keys.sort()
+        first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        count, uniq = np.diff(np.append(first, len(keys))), keys[first]
+        yield (uniq[1:], count[1:]) if uniq[0] == 0 else (uniq, count)  # 0: places without a gram
 
 
 def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Profiles:
@@ -124,7 +153,8 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with a null language, id or text are not learnt from. At most
     ``max_docs`` documents a language, by md5 of the id, are counted; counting is
-    distributed, and PROFILE grams a language come to the driver.
+    distributed, and PROFILE grams a language come to the driver. More than
+    MAX_LANGS languages raise an error.
     """
     lid = F.col(f"`{id_col}`")
     rows = docs.select(lid.alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
@@ -134,48 +164,41 @@ def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bins = ranked.groupBy("_lang", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_lang").orderBy("_bin")) - F.col("_n")
     cut = bins.withColumn("_before", before).where(F.col("_before") < max_docs).groupBy(F.col("_lang").alias("_of")).agg(F.max("_bin").alias("_cut"))
+    found = cut.limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    cut = docs.sparkSession.createDataFrame(found, cut.schema)
     near = ranked.join(F.broadcast(cut), (F.col("_lang") == F.col("_of")) & (F.col("_bin") <= F.col("_cut")))  # a row a language
     sample = near.withColumn("_nth", F.row_number().over(Window.partitionBy("_lang").orderBy("_rank", "_text"))).where(F.col("_nth") <= max_docs).select("_lang", "_text")
 
     def counted(batches):
+        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def rows(lang: str) -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([k for k, _ in by[lang]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in by[lang]]), len(keys)).astype(np.int64)
+            del by[lang]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                sym, _, has = symbols([text])
-                if has[0]:
-                    keys = np.concatenate(grams(sym, _CODE_BITS))
-                    by.setdefault(lang, []).append(keys[keys > 0])
-            for lang, parts in by.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                by.setdefault(lang, []).extend(found for found in counts_of([text]) if found is not None)
+                if sum(len(k) for k, _ in by[lang]) > PASS_CHARS:
+                    yield rows(lang)
+        for lang in [lang for lang in by if by[lang]]:
+            yield rows(lang)
 
     counts = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), F.expr("shiftrightunsigned(gram, 32)"), F.expr("gram & 4294967295"))  # ties as of unsigned keys
     got = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= PROFILE).collect()
     langs = sorted({r["lang"] for r in got})
 
-    def codes(gram: int) -> list[int]:
-        split = [gram >> (_CODE_BITS * j) & ((1 << _CODE_BITS) - 1) for j in range(LONGEST - 1, -1, -1)]
-        return [c for c in split if c]
-
-    weight: dict[int, int] = {}
-    for r in got:
-        for c in codes(r["gram"]):
-            weight[c] = weight.get(c, 0) + r["n"]
-    weight.pop(PAD, None)
-    alphabet = sorted(sorted(weight, key=lambda c: (-weight[c], c))[: OTHER - 2])
-    ids = {c: i + 2 for i, c in enumerate(alphabet)} | {PAD: PAD}
-    ranks: dict[int, np.ndarray] = {}
-    for r in got:
-        key = 0
-        for c in codes(r["gram"]):
-            key = key << _ID_BITS | ids.get(c, OTHER)
-        place = ranks.setdefault(key, np.full(len(langs), PROFILE, np.int64))
-        at = langs.index(r["lang"])
-        place[at] = min(place[at], r["rank"] - 1)
-    vocab = sorted(ranks)
-    table = np.array([ranks[k] for k in vocab], np.int64).reshape(len(vocab), len(langs))
-    return Profiles(langs, np.array(alphabet or [-1], np.int64), np.array(vocab, np.uint32), table)
+    vocab, at = np.unique(np.array([r["gram"] for r in got], np.int64).view(np.uint64), return_inverse=True)
+    ranks = np.full((len(vocab), len(langs)), PROFILE, np.int64)
+    number = {lang: i for i, lang in enumerate(langs)}
+    for v, r in zip(at, got, strict=True):
+        ranks[v, number[r["lang"]]] = r["rank"] - 1
+    return Profiles(langs, vocab, ranks)
 
 
 def identify_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
