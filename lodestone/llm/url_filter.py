@@ -12,10 +12,10 @@ from .shared import ascii_lower
 
 #: Words of 64 bits in a block; a key sets one bit in each.
 BLOCK = 4
-#: Most blocks of a filter (2 MB). A longer list has a fuller filter, never a wrong result.
-MAX_BLOCKS = 1 << 16
-#: Bits of the filter for each key, before rounding up to a power of two of blocks.
+#: Bits of the filter for each key, before rounding up to a power of two of blocks: the filter grows with the list.
 BITS_A_KEY = 16
+#: Most blocks of a filter that is broadcast (2.5 MB); a larger one is dealt by block, and the keys go to their blocks.
+BROADCAST_BLOCKS = 1 << 16
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -43,6 +43,24 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
+def block_count(n_keys: int) -> int:
+    """Blocks of a filter of so many keys: a power of two with BITS_A_KEY bits for each."""
+    n = 1
+    while n * BLOCK * 64 < BITS_A_KEY * n_keys:
+        n *= 2
+    return n
+
+
+def possible(keys: DataFrame, listed: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows of ``keys`` (host, path, ...) that the filter of ``listed`` lets pass: all that are listed, and few others."""
+    block, g = _hashes(F.col("host"), F.col("path"), n_blocks)
+    blocks = bloom_blocks(listed, n_blocks)
+    hits = keys.withColumns({"_block": block, "_g": g}).join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "_block")
+    for j in range(BLOCK):
+        hits = hits.where(F.col(f"_w{j}").bitwiseAND(_mask(F.col("_g"), j)) != 0)
+    return hits.select(*keys.columns)
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judge each url by a list of ``verdict, host, path`` rules.
 
@@ -54,8 +72,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     Each url gives the keys under which a rule that fits must be listed: suffixes
     of its host at dots, with prefixes of its path of the lengths that occur in
-    the list. A blocked Bloom filter drops nearly all keys that aren't listed;
-    what passes meets the list in an exact join, by distinct host and path.
+    the list. A blocked Bloom filter, as large as the list needs, drops nearly
+    all keys that aren't listed; what passes meets the list in an exact join, by
+    distinct host and path. Of the list, its size and the distinct lengths of its
+    paths (at most the longest path) come to the driver.
 
     Returns id, host, path, ``rule`` (host and path joined, else null), ``verdict``.
 
@@ -74,9 +94,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     if not facts["n"]:
         return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    n_blocks = 1
-    while n_blocks * BLOCK * 64 < BITS_A_KEY * facts["n"] and n_blocks < MAX_BLOCKS:
-        n_blocks *= 2
+    n_blocks = block_count(facts["n"])
     lengths = ", ".join(str(n) for n in sorted(facts["lengths"]))
     keys = F.expr(
         "flatten(transform(sequence(1, size(split(_host, '[.]'))), i -> "
@@ -84,16 +102,14 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         "named_struct('host', array_join(slice(split(_host, '[.]'), i, size(split(_host, '[.]'))), '.'), 'path', left(_path, n)))))"
     )
     hits = rows.where("_host != ''").withColumn("_key", F.explode(keys)).select("_host", "_path", F.col("_key.host").alias("host"), F.col("_key.path").alias("path"))
-    block, g = _hashes(F.col("host"), F.col("path"), n_blocks)
-    hits = hits.withColumns({"_block": block, "_g": g}).join(F.broadcast(bloom_blocks(listed, n_blocks)), "_block")
-    for j in range(BLOCK):
-        hits = hits.where(F.col(f"_w{j}").bitwiseAND(_mask(F.col("_g"), j)) != 0)
-    hits = hits.select("_host", "_path", "host", "path").distinct()
+    hits = possible(hits, listed, n_blocks).distinct()
     found = hits.join(listed, ["host", "path"]).groupBy("_host", "_path").agg(
         F.max_by(F.struct(F.concat("host", "path").alias("rule"), "_verdict"), F.struct(F.length("host") + F.length("path"), F.length("host"))).alias("_best")
     )
-    found = found.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_best")
-    out = rows.join(found, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
+    found = found.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.lit(0).cast("long").alias("_s"), "_best")
+    # Urls without a host match nothing: they are spread, not sent to one task as one key.
+    rows = rows.withColumn("_salt", F.when(F.col("_host") == "", F.xxhash64("_id").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    out = rows.join(found, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")) & (F.col("_salt") == F.col("_s")), "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
