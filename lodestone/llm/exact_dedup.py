@@ -32,8 +32,9 @@ def exact_dedup(
 
     A text that fills a large part of a partition is sorted in several salted
     runs; the number of salts follows its exact row count, and the heads of
-    the runs are compared in full afterwards. The list of such texts has at
-    most HOT_SHARE rows for each shuffle partition, so it is broadcast.
+    the runs are compared in full afterwards. Rows are dealt to salts by their
+    place, so repeated and null identifiers spread too. The list of such texts has
+    at most HOT_SHARE rows for each shuffle partition, so it is broadcast.
 
     Returns for each input row the columns ``carry``, then ``keep_id``,
     ``group_size``, ``kept``, ``text_sha256`` (of the normalised text, UTF-8);
@@ -64,7 +65,7 @@ def exact_dedup(
     placed = (
         rows.join(F.broadcast(hot), "_h", "left")
         .withColumn("_p", F.substring(norm, 1, SPLITTER_CHARS))
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(rid)), F.col("_salts")), F.lit(-1)))
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_salts")), F.lit(-1)))
         .drop("_salts")
         .repartitionByRange(n_parts, *run_key)
         .withColumn("_norm", norm)
@@ -81,12 +82,17 @@ def exact_dedup(
         "_norm",
     )
     # The heads of a hot text's runs, compared in full: only hot rows are sorted for this.
+    alone = F.col("_keep").isNull()
+    order = F.struct(~alone, "_keep", F.negate("_salt")) if keep == "max" else F.struct(alone, "_keep", "_salt")
     merged = (
         runs.where((F.col("_salt") >= 0) & (F.col("_rank") == 1))
         .groupBy("_h", "_norm")
-        .agg(pick("_keep").alias("_all_keep"), F.sum("_size").alias("_all_size"), F.collect_list(F.struct("_salt", "_sha")).alias("_runs"))
-        .select("_h", "_all_keep", "_all_size", F.explode("_runs").alias("_run"))
-        .select("_h", F.col("_run._salt").alias("_salt"), F.col("_run._sha").alias("_sha"), "_all_keep", "_all_size", F.lit(True).alias("_hot"))
+        .agg(
+            pick("_keep").alias("_all_keep"), F.sum("_size").alias("_all_size"), F.collect_list(F.struct("_salt", "_sha")).alias("_runs"),
+            (F.max_by if keep == "max" else F.min_by)("_salt", order).alias("_first"),
+        )
+        .select("_h", "_all_keep", "_all_size", "_first", F.explode("_runs").alias("_run"))
+        .select("_h", F.col("_run._salt").alias("_salt"), F.col("_run._sha").alias("_sha"), "_all_keep", "_all_size", "_first", F.lit(True).alias("_hot"))
     )
     out = runs.join(F.broadcast(merged), ["_h", "_salt", "_sha"], "left")
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
@@ -95,6 +101,6 @@ def exact_dedup(
         *(F.col(names[c]).alias(c) for c in carried),
         keep_id.alias("keep_id"),
         F.when(is_hot, F.col("_all_size")).otherwise(F.col("_size")).alias("group_size"),
-        ((F.col("_rank") == 1) & F.col("_keep").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_rank") == 1) & (~is_hot | (F.col("_salt") == F.col("_first")))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
