@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from lodestone.llm.components import connected_components
 from lodestone.llm.exact_dedup import exact_dedup
 from lodestone.llm.jaccard_join import jaccard_components
 from lodestone.llm.suffix_dedup import column_sort, repeated_strings, substring_dedup
-from lodestone.llm.window_index import WindowIndex, window_dedup
+from lodestone.llm.window_index import WindowIndex, compared_windows, removed_words, window_dedup
 
 DOCS = "doc_id long, text string, source string"
 
@@ -76,6 +79,16 @@ def test_exact_defined_cases(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_hot_rows_without_order(spark):
+    """A hot text on null and repeated identifiers: one row is kept, whatever run it is in."""
+    for ids in ([None] * 400, [7] * 400, [None] * 200 + [3] * 200, [3] * 100 + [9] * 300):
+        df = frame(spark, [(i, "hot", "s") for i in ids] + [(1000 + i, f"text {i}", "s") for i in range(20)])
+        for keep, pick in (("min", min), ("max", max)):
+            got = exact_dedup(df, keep=keep).where("doc_id is null or doc_id < 1000").collect()
+            want = pick((i for i in ids if i is not None), default=None)
+            assert {(r["keep_id"], r["group_size"]) for r in got} == {(want, 400)} and [r["doc_id"] for r in got if r["kept"]] == [want]
+
+
 # Near
 
 
@@ -188,7 +201,7 @@ def test_column_sort():
             assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
 
 
-def test_columns_through_a_file(monkeypatch):
+def test_columns_through_a_file(monkeypatch, tmp_path):
     from lodestone.llm import suffix_dedup
 
     m = np.random.default_rng(1).integers(0, 2, (50, 8)).astype(np.uint8)
@@ -196,7 +209,8 @@ def test_columns_through_a_file(monkeypatch):
     args = (doc, zero + 10, zero, zero + 4, 4, 4)
     want = [x.tolist() for x in repeated_strings(m, *args)]
     monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 0)
-    assert [x.tolist() for x in repeated_strings(m, *args)] == want
+    assert [x.tolist() for x in repeated_strings(m, *args, f"file://{tmp_path}/columns")] == want
+    assert not list((tmp_path / "columns").iterdir())
 
 
 # Windows
@@ -233,10 +247,149 @@ def test_windows_defined_cases(spark):
     assert window_dedup(frame(spark, [])).count() == 0
 
 
+def thue_morse(n: int, flip: int) -> str:
+    return "".join("ab"[bin(i).count("1") + flip & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_words_are_told_apart(spark, size):
+    """Words that a polynomial hash modulo 2^64 takes for equal are different words."""
+    w, v = thue_morse(size, 0), thue_morse(size, 1)
+    rest = " ".join(f"t{i}" for i in range(49))
+    rows = [(1, f"{w} b c d e", "s"), (2, f"{v} b c d e", "s"), (3, f"{w} {rest}", "s"), (4, f"{v} {rest}", "s"), (5, f"{w} {rest}", "s"), (6, w, "s"), (7, v, "s")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows) and got[2][1] == 2 and got[5][1] == 3
+    got = {r["doc_id"]: tuple(r[1:]) for r in window_dedup(frame(spark, rows), batches=2).collect()}
+    assert got == brute_windows(rows, 50) and got[4][1] == 0 and got[5][1] == 50
+
+
+def test_hashes_do_not_decide(spark, monkeypatch):
+    """Where hashes fail, words are compared: with a hash of two bits the links and windows are still those of brute force."""
+    rows = [r for r in corpus(11, 60, 40) if len(r[1] or "") < 20_000]
+    w = [f"t{i}" for i in range(60)]
+    rows += [(500, " ".join(w), "s"), (501, " ".join(w[:30] + ["x"] + w[30:]), "s"), (502, " ".join(reversed(w)), "s")]
+    want = brute_windows(rows, 50)
+    index = WindowIndex(spark, buckets=4)
+    texts = frame(spark, rows).select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    index.add(texts)
+    # All windows of all documents are sent to the comparison, as if their hashes were equal.
+    every = [(i, [np.array([[0, len((t or "").split()) - 50]]).astype(np.int64).tobytes()]) for i, t, _ in rows if len((t or "").split()) >= 50]
+    found = texts.join(spark.createDataFrame(every, "_hit long, _keys array<binary>"), F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
+    gone = removed_words(texts, compared_windows(found, 50, 4), 50)
+    got = {r["_id"]: sum(b - a for a, b in zip(r["_starts"], r["_ends"], strict=True)) for r in gone.collect()}
+    assert got == {i: n for i, (_, n, _) in want.items() if n}
+    index.drop()
+    # Sets whose hashes say that they are equal, with other words.
+    from lodestone.llm.jaccard_join import verified
+
+    grams = np.arange(10, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(1, grams, b"a b c d e f "), (2, grams, b"a b c d e g "), (3, grams, b"a b c d e f "), (4, grams, b"a b "), (5, grams, b"a b ")], "id long, grams binary, words binary")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (5, 4)], "x long, y long")
+    assert sorted(map(tuple, verified(pairs, sets, 80, 5).collect())) == [(3, 1), (5, 4)]
+
+
+def test_suffix_filter_keeps_similar_pairs():
+    """A pair that reaches the similarity passes all filters where its prefixes first meet; most others don't."""
+    from lodestone.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for _ in range(400):
+        a = rng.choice(1 << 62, rng.integers(5, 300), replace=False).astype(np.uint64) * np.uint64(4)
+        keep = rng.random(len(a)) < rng.choice([0.3, 0.85, 0.95])
+        b = np.concatenate([a[keep], rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64) * np.uint64(4) + np.uint64(1)])
+        if not keep.any():
+            continue
+        a, b = np.sort(a), np.sort(b)
+        common = np.intersect1d(a, b)
+        alike = 100 * len(common) >= 80 * (len(a) + len(b) - len(common))
+        x = {k: [] for k in ("n", "at", "suffix")}
+        for s in (a, b):
+            part, at = (s >> np.uint64(59)).astype(np.uint8), np.flatnonzero(s == common[0])
+            x["n"].append(len(s))
+            x["at"].append(int(at[0]))
+            x["suffix"].append(jj._suffixes(part, np.bincount(part, minlength=jj.PARTS).astype(np.uint32), at)[0])
+        ok = jj._passes({k: np.array(v) for k, v in x.items()}, np.array([0]), np.array([1]), 80)[0]
+        assert ok or not alike
+        dropped += not ok
+    assert dropped > 100
+
+
+def test_index_in_two_sessions(spark, tmp_path):
+    """An index that is opened again goes on as it was made, whatever the session's number of partitions."""
+    rows = corpus(9, 120, 40)
+    texts = frame(spark, rows).select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    path, part = f"file://{tmp_path}/index", lambda lo, hi: texts.where((F.col("_id") >= lo) & (F.col("_id") < hi))
+    want = {i: n for i, (_, n, _) in brute_windows(rows, 50).items() if n}
+    first = WindowIndex(spark, path)
+    first.add(part(0, 50))
+    first.close()
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", 6)
+    index = WindowIndex(other, path)
+    assert (index.buckets, index.version, [lv for lv, _ in index.runs]) == (first.buckets, 1, [0])
+    index.add(part(50, 100))
+    stale = WindowIndex(spark, path)
+    index.add(part(100, 200))
+    assert [lv for lv, _ in index.runs] == [1, 0] and len(list((tmp_path / "index").glob("run-*"))) == 2
+    with pytest.raises(FileExistsError):  # another writer was faster
+        stale.add(part(100, 200))
+    index = WindowIndex(other, path)
+    got = {r["_id"]: sum(b - a for a, b in zip(r["_starts"], r["_ends"], strict=True)) for r in index.resolve(texts).collect()}
+    assert got == want
+    assert "Exchange" not in index._read(index.runs[0][1]).groupBy("part").cogroup(index._read(index.runs[1][1]).groupBy("part")).applyInArrow(lambda a, b: a, "part int, id long, keys binary, docs binary")._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def long_text(rng, size: int) -> str:
+    return " ".join(f"w{n}" for n in rng.integers(0, 5000, size // 6).tolist())
+
+
+def test_long_documents_in_pieces(spark, monkeypatch):
+    """Documents longer than a piece: results are those of brute force, wherever pieces end."""
+    from lodestone.llm import suffix_dedup
+
+    rng = np.random.default_rng(2)
+    a, b = long_text(rng, 4000), long_text(rng, 3000)
+    rows = [(1, a, "s"), (2, b[:900] + a[500:1700] + b[900:], "s"), (3, "é" + a[3:] + b, "s"), (4, a + a, "s")]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 256)
+    got = {r["doc_id"]: tuple(r[1:]) for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == brute_substrings(rows, 50)
+
+
+def test_memory_of_long_documents():
+    """Arrays of a document of 32 MB that shares everything stay within a bound."""
+    from lodestone.llm import suffix_dedup
+    from lodestone.llm.grid import slices
+    from lodestone.llm.jaccard_join import shingles
+    from lodestone.llm.window_index import _windows
+
+    text = pa.array([long_text(np.random.default_rng(3), 32 << 20)])
+    size = len(text[0].as_py())
+
+    def peak(work) -> float:
+        gc.collect()
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    def spans():
+        for s in slices(text, suffix_dedup.PIECE, 49):
+            _, doc, _, h = suffix_dedup._anchors(s, 50, 20)
+            suffix_dedup._spans(s, [np.unique(suffix_dedup.keyed(h, 16))], 16, 50, 20)
+
+    assert peak(spans) < 6
+    assert peak(lambda: [shingles(s) for s in slices(text)]) < 40
+    assert peak(lambda: [_windows(s, 50, 25) for s in slices(text)]) < 40
+
+
 def test_index_is_incremental(spark):
     """A later batch is judged by the runs of the earlier ones; runs are compacted."""
     rows = corpus(7, 150, 40)
-    index = WindowIndex(spark, fanout=2)
+    index = WindowIndex(spark)
     texts = frame(spark, rows).select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
     for lo in range(0, 180, 40):
         index.add(texts.where((F.col("_id") >= lo) & (F.col("_id") < lo + 40)))

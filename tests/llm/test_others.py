@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate as dc
+from lodestone.llm import language_id, quality
 from lodestone.llm.language_id import identify_language, learn_profiles
 from lodestone.llm.license_scan import BASE_PHRASES, NOTICES, Scanner, license_digest, normalised, scan_licenses, seeds
 from lodestone.llm.mixing import mix_sources, source_targets
 from lodestone.llm.quality import FEATURES, classify_quality, fit_additive, train_quality
-from lodestone.llm.url_filter import rules_frame, url_filter
+from lodestone.llm.url_filter import BROADCAST_BLOCKS, block_count, possible, rules_frame, url_filter
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -65,6 +68,56 @@ def test_additive_model_learns_pairs():
     assert (0, 1) in paired.pairs
 
 
+def test_quality_rows_are_bounded(spark):
+    """At most max_rows rows are fitted, also where one labelled identifier is on many documents."""
+    docs = spark.range(3000).select(F.lit(3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).union(spark.createDataFrame([(i, f"words of {i} and more") for i in range(4, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 60)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit_additive = quality.fit_additive, lambda x, y: seen.append((x, y)) or fit(x, y, rounds=1)
+    try:
+        train_quality(docs, labels, max_rows=10)
+    finally:
+        quality.fit_additive = fit
+    ((x, y),) = seen
+    ids = sorted((i for i in range(3, 60) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:10]
+    assert x.shape == (10, len(FEATURES)) and y.tolist() == [i % 2 for i in ids]
+
+
+def plain_features(text):
+    """The features of one text, counted with strings."""
+    raw = text.encode()
+    words, lines = raw.lower().split(), [x for x in raw.split(b"\n") if x]
+    letters = sum(chr(b).isalpha() for b in raw if b < 128)
+    n, m, counts = max(len(raw), 1), max(len(words), 1), Counter(words)
+    share = lambda chars: sum(chr(b) in chars for b in raw if b < 128)
+    return {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "word_bytes": sum(map(len, words)) / m,
+        "upper": sum(65 <= b <= 90 for b in raw) / max(letters, 1), "digit": sum(48 <= b <= 57 for b in raw) / n,
+        "shout": share("!?") / n, "stop": share(".,;:") / m, "space": share(" \t\n\r\x0b\x0c") / n, "line_words": len(words) / max(len(lines), 1),
+        "non_ascii": sum(b > 127 for b in raw) / n, "distinct_words": len(counts) / m, "repeat_next": sum(a == b for a, b in zip(words, words[1:])) / m,
+        "top_word": max(counts.values(), default=0) / m, "dup_lines": sum(c - 1 for c in Counter(lines).values()) / max(len(lines), 1),
+        "longest_word": np.log1p(max(map(len, words), default=0)), "same_next": sum(a == b for a, b in zip(raw, raw[1:])) / n,
+        "capitalised": sum(65 <= w[0] <= 90 for w in raw.split()) / m,
+    }
+
+
+def test_quality_against_plain_statement():
+    """Features and score of single texts, also where several share a batch."""
+    texts = ["Hello there, hello THERE!\nA line.\nA line.\n\n1234 one one", "", "é" * 50, "x" * 300 + " y", " \n \n", "Word. word? WORD!"]
+    x = quality.text_features(pa.array(texts))
+    for row, t in zip(x, texts, strict=True):
+        for name, value in plain_features(t).items():
+            assert row[FEATURES.index(name)] == pytest.approx(value, abs=1e-6), (t[:20], name)
+    rng = np.random.default_rng(1)
+    data = rng.random((500, len(FEATURES)))
+    model = fit_additive(data, (data[:, 0] + data[:, 3] > 1).astype(float), rounds=20)
+    for row, got in zip(data[:50], model.score(data[:50]), strict=True):
+        total = model.intercept + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        for (a, b), t in zip(model.pairs, model.pair_tables, strict=True):
+            total += t[sum(row[a] >= e for e in model.pair_edges[a]), sum(row[b] >= e for e in model.pair_edges[b])]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 # Languages
 
 
@@ -83,7 +136,7 @@ def test_language_against_plain_statement(spark):
         words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
         out = Counter()
         joined = "_" + "_".join(words) + "_"
-        for n in (1, 2, 3):
+        for n in (1, 2, 3, 4, 5):
             for i in range(len(joined) - n + 1):
                 g = joined[i : i + n]
                 if g != "_" and "_" not in g[1:-1]:
@@ -91,7 +144,7 @@ def test_language_against_plain_statement(spark):
         return out
 
     def key(g):
-        return (len(g), [(-1 if c == "_" else ord(c)) for c in g])
+        return int(language_id.grams(np.array([1 if c == "_" else ord(c) for c in g]))[len(g) - 1][0])  # ties are in no order a reader would know
 
     def ranks(counts):
         return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], key(g)))[:300])}
@@ -102,7 +155,24 @@ def test_language_against_plain_statement(spark):
     apart = {lang: sum(abs(r - theirs[g]) if g in theirs else 300 for g, r in mine.items()) for lang, c in learnt.items() for theirs in [ranks(c)]}
     row = identify_language(docs, p).where("doc_id = 3").first()
     assert row["lang_pred"] == min(apart, key=apart.get)
-    assert row["score"] == pytest.approx(1 - min(apart.values()) / 300 / len(mine), abs=0.02)
+    assert row["score"] == pytest.approx(1 - min(apart.values()) / 300 / len(mine), abs=1e-9)
+
+
+def test_language_any_alphabet(spark):
+    """Scripts of thousands of letters don't push each other out, and the number of languages is bounded."""
+    rng = random.Random(6)
+    scripts = {"zh": (0x4E00, 4000), "zz": (0x4E00 + 4000, 4000), "ko": (0xAC00, 5000), "yi": (0xA000, 1000), "am": (0x1200, 300), "en": (97, 26)}
+    text = lambda lang: " ".join("".join(chr(scripts[lang][0] + min(int(rng.expovariate(4) * scripts[lang][1]), scripts[lang][1] - 1)) for _ in range(4)) for _ in range(120))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(scripts) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_language(docs, learn_profiles(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.98
+    limit, language_id.MAX_LANGS = language_id.MAX_LANGS, 3
+    try:
+        with pytest.raises(ValueError):
+            learn_profiles(docs)
+    finally:
+        language_id.MAX_LANGS = limit
 
 
 def test_language_defined_cases(spark):
@@ -154,6 +224,51 @@ def test_license_edits():
     assert "".join(s for s, _ in seeds("abcdefghij", 3)) == "abcdefghij"
 
 
+def least_edits(a: bytes, b: bytes) -> list[int]:
+    """Least edits of a in any part of b that ends at each place."""
+    row = [0] * (len(b) + 1)
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row
+
+
+def test_license_spans_against_brute_force():
+    """Every reported span has the edits it says, and every place within the budget is reported or overlaps a better span."""
+    rng = random.Random(4)
+    notices = {"mozilla public license": "mpl", "all rights reserved": "reserved", "eclipse public license": "epl"}
+    scanner, seen = Scanner({}, notices, 10), 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            notice = list(rng.choice(list(notices)))
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(notice))
+                notice[at : at + 1] = rng.choice(["", "x", notice[at] + "y"])
+            parts += ["".join(notice), *rng.choices(["public", "license", "rights", "word", "mozilla"], k=rng.randrange(3))]
+        text = " ".join(parts)
+        norm, spans = normalised(text), scanner.scan(text)[1]
+        words = norm.split()
+        for notice, label in notices.items():
+            k = len(notice) // 10
+            taken = np.zeros(len(norm) + 1, bool)
+            starts = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+            for name, first, last, e, base in spans:
+                if name == label:
+                    seen += 1
+                    part = b" " + b" ".join(words[first : last + 1]) + b" "
+                    assert not base and e <= k and min(least_edits(notice.encode(), part)) <= e
+                    taken[starts[first] : starts[last + 1] + 1] = True
+            for end, e in enumerate(least_edits(notice.encode(), norm)):
+                assert e > k or taken[max(end - len(notice) - k, 0) : end + 1].any()
+    assert seen > 200
+    spans = scanner.scan("mozila public license mozilla public license")[1]
+    assert [s[:4] for s in spans] == [("mpl", 0, 2, 1), ("mpl", 3, 5, 0)]
+    assert scanner.scan("mozilla public house, all lights on")[1] == []
+
+
 def test_license_defined_cases(spark):
     assert license_digest(scan_licenses(odd(spark)), "doc_id").count() == 8
     assert license_digest(scan_licenses(odd(spark).where("false")), "doc_id").count() == 0
@@ -173,11 +288,57 @@ def edits(a: bytes, b: bytes) -> int:
     return min(row)
 
 
+def in_words(text) -> bytes:
+    return b" " + b"".join(w + b" " for w in regex.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()))
+
+
+def brute_leaks(docs, items) -> Counter:
+    want = Counter()
+    for i, t in docs:
+        body = in_words(t)
+        for k, x in items:
+            item = in_words(x)
+            size = len(item) - 2
+            budget = max(0, min(size // 10, (size - 8) // 8))
+            if size > 0 and (e := edits(item, body)) <= budget:
+                want[i, k, e] += 1
+    return want
+
+
+def test_decontamination_of_short_items(spark):
+    """Items too short for a q-gram are found as whole words only, and longer ones begin and end where words do."""
+    items = [(1, "a"), (2, "Ab"), (3, "ab cd"), (4, "question"), (5, "no-no"), (6, "ab"), (7, "!"), (8, "abcdefg"), (9, "été")]
+    texts = ["a", "A b", "ab", "xab cd", "ab, CD", "questionnaire", "the question", "question", "no no no", "nono no", "", None, "b\na", "abcdefgh", "abcdefg", "cd ab", "ab", "cd", "l'été"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["item_id"], r["edits"]) for r in dc.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == brute_leaks(list(enumerate(texts)), items) and got[5, 4, 0] == 0 and got[6, 4, 0] == 1
+    row = dc.contaminated(df, spark.createDataFrame([(3, "ab cd")], "item_id long, text string")).where("doc_id = 4").first()
+    assert (row["start"], row["end"]) == (0, 5)
+
+
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    """A long document is searched in pieces, its matches are those of the whole."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 8))) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, k=12))) for i in range(20)] + [(100, "zz")]
+    parts = []
+    for i in range(60):
+        parts += rng.choices(vocab, k=200) + [rng.choice(items)[1].replace("a", "ax", 1)]
+    docs = spark.createDataFrame([(1, "  -- ".join(parts) + " zz"), (2, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(tuple, dc.contaminated(docs, bench).collect()))
+    whole = rows()
+    for size in (700, 1024):
+        monkeypatch.setattr(dc, "PIECE", size)
+        monkeypatch.setattr(dc, "POSTINGS", 50)
+        assert rows() == whole and len(whole) > 10
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("aeioustrn", k=rng.randrange(2, 7)))
     vocab = [word() for _ in range(50)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(6, 14))).capitalize() + ".") for i in range(12)] + [(50, "short"), (51, None), (52, "")]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(6, 14))).capitalize() + ".") for i in range(12)] + [(50, "qzx"), (51, None), (52, "")]
     docs = []
     for i in range(60):
         text = " ".join(rng.choices(vocab, k=rng.randrange(40)))
@@ -191,13 +352,7 @@ def test_decontamination_against_brute_force(spark):
     docs += [(100, None), (101, ""), (102, items[0][1].upper()), (102, items[0][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = Counter()
-    for i, t in docs:
-        body = normalised(t or "").strip()
-        for k, x in items:
-            item = dc.make_item(k, x, dc.ERROR)
-            if item and edits(item.text, body) <= item.edits:
-                want[i, k, edits(item.text, body)] += 1
+    want = brute_leaks(docs, items)
     got = Counter((r["doc_id"], r["item_id"], r["edits"]) for r in dc.contaminated(df, bench).collect())
     assert got == want and sum(want.values()) > 20 and any(e for _, _, e in want)
     kept = {r["doc_id"] for r in dc.drop_contaminated(df, bench).collect()}
@@ -208,8 +363,11 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     docs, bench = tables(spark, "documents", "benchmark")
     pairs = lambda: sorted(map(tuple, dc.contaminated(docs, bench).collect()))
     whole = pairs()
-    monkeypatch.setattr(dc, "BLOCK_BYTES", 2000)
+    kept = sorted(r["doc_id"] for r in dc.drop_contaminated(docs, bench).collect())
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 5000)
     assert pairs() == whole and len(whole) > 10
+    clean = dc.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == kept
     assert dc.contaminated(docs.where("false"), bench).count() == 0 and dc.contaminated(docs, bench.where("false")).count() == 0
     assert dc.contaminated(odd(spark), bench).count() == 0 and dc.drop_contaminated(odd(spark), bench).count() == 8
 
@@ -245,6 +403,34 @@ def test_mix_against_plain_statement(spark):
         assert all(got[i]["taken"] <= 2 * size[i] for i in mine)
         more = [got[i]["copies"] for i in mine]
         assert max(more) - min(more) <= 1
+        whole = int(target // total)
+        left = target - whole * total
+        assert sum(got[i]["probability"] * size[i] for i in mine) == pytest.approx(left)
+        rate = max((got[i]["probability"] / size[i] for i in mine if size[i]), default=0)
+        assert all(got[i]["probability"] == pytest.approx(min(1, rate * size[i])) for i in mine)
+        # The order, stated plainly: random odds over inclusion odds, cut at the place nearest to what is left.
+        rank = lambda i: (lambda u, p: u / (1 - u) * (1 - p) / p)((int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, got[i]["probability"])
+        words = 0
+        assert left > 0 or all(got[i]["copies"] == whole for i in mine if size[i])
+        for i in sorted((i for i in mine if size[i] and left > 0), key=rank):
+            words += size[i]
+            assert got[i]["copies"] == whole + (words - size[i] / 2 <= left)
+
+
+def test_mix_inclusion_frequencies(spark):
+    """Over many equal sources, documents are sampled about as often as their inclusion probability says."""
+    sizes = [1, 2, 3, 5, 8, 8, 12, 20, 30, 90] * 3
+    rows = [(s * 100 + i, "w " * n, f"s{s:04}") for s in range(600) for i, n in enumerate(sizes)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.3).collect()
+    by: dict[int, list] = {}
+    for r in got:
+        by.setdefault(r["size"], []).append((r["copies"], r["probability"]))
+    assert len(got) == len(rows)
+    for size, pairs in by.items():
+        p = pairs[0][1]
+        assert all(x[1] == pytest.approx(p) for x in pairs) and np.mean([c for c, _ in pairs]) == pytest.approx(p, abs=0.05), size
+    chances = [by[n][0][1] for n in sorted(by)]
+    assert chances == sorted(chances) and chances[0] < 0.02 < 0.4 < chances[-1] <= 1
 
 
 def test_mix_defined_cases(spark):
@@ -277,6 +463,16 @@ def test_urls_against_plain_statement(spark):
     assert got == sorted(want) and sum("rule=None" not in w for w in want) > 100
 
 
+def test_url_filter_grows_with_the_list(spark):
+    """The filter of a long list still tells nearly all keys that aren't listed, and loses none."""
+    n = 3_000_000
+    key = lambda name: spark.range(n).select(F.concat(F.lit(name), F.col("id"), F.lit(".com")).alias("host"), F.lit("/").alias("path"))
+    listed, blocks = key("a"), block_count(n)
+    assert blocks > BROADCAST_BLOCKS
+    assert possible(key("b").limit(200_000), listed, blocks).count() < 2_000
+    assert possible(listed.limit(200_000), listed, blocks).count() == 200_000
+
+
 def test_urls_defined_cases(spark):
     pages = spark.createDataFrame([(None, "http://a/"), (None, "http://a/")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter(pages, rules_frame(spark, [("block", "A", "/"), ("allow", "a", "/")])).collect()] == ["block"] * 2
