@@ -55,18 +55,30 @@ def hash_embed(text: str, dim: int = DIM) -> list[float]:
     return [float(x) for x in (out / norm if norm else out).astype(np.float32)]
 
 
-def model_embedding(text: Column, load: Callable[[], Model]) -> Column:
+def model_embedder(load: Callable[[], Model]) -> Callable[[Column, int], Column]:
+    """What an engine takes as ``embed_column``: vectors of the model that ``load`` makes."""
+    return lambda text, dim: model_embedding(text, load, dim)
+
+
+def model_embedding(text: Column, load: Callable[[], Model], dim: int | None = None) -> Column:
     """Vectors of a model that ``load`` makes, once a Python worker; MODEL_BATCH texts a pass, in order.
 
-    ``load`` runs on executors, for instance to open an ONNX session there."""
+    ``load`` runs on executors, for instance to open an ONNX session there. A
+    null text is embedded as an empty one; an empty batch asks the model nothing.
+    With ``dim``, vectors of another length raise an error."""
     held: list[Model] = []
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        if not held:
+        rows = [t or "" for t in texts.to_pylist()]
+        if rows and not held:
             held.append(load())
-        rows = texts.to_pylist()
-        parts = [np.asarray(held[0](rows[i : i + MODEL_BATCH]), np.float32) for i in range(0, len(rows), MODEL_BATCH)]
-        return pa.array([v.tolist() for p in parts for v in p], pa.list_(pa.float32()))
+        out = []
+        for i in range(0, len(rows), MODEL_BATCH):
+            part = np.asarray(held[0](rows[i : i + MODEL_BATCH]), np.float32)
+            if part.ndim != 2 or len(part) != len(rows[i : i + MODEL_BATCH]) or dim not in (None, part.shape[1]):
+                raise ValueError(f"a model must give one vector of {dim or 'one'} length a text, not an array of shape {part.shape}")
+            out.extend(part.tolist())
+        return pa.array(out, pa.list_(pa.float32()))
 
     return embed(text)

@@ -11,9 +11,28 @@ from pyspark.sql.column import Column
 #: White space as ECMAScript trims it, inside a character class (fixed value).
 WHITE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
-#: Letters with a diacritic (Latin-1 to Latin Extended-B) and their bases, by Unicode decomposition.
-_FOLDED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c).lower())) > 1 and d[0].isascii() and chr(c).lower() == chr(c)]
-FOLD_FROM, FOLD_TO = "".join(a for a, _ in _FOLDED), "".join(b for _, b in _FOLDED)
+def _fold_table() -> tuple[dict[str, str], str]:
+    """Lower-case letters that are searched as another, by Unicode's own data, and marks that are dropped.
+
+    An ASCII letter with one diacritic is the letter; a letter with a simple case
+    folding of its own is that. Marks that such letters decompose into are dropped."""
+    letters, marks = {}, set()
+    for c in map(chr, range(0x80, 0x1F00)):
+        if c != c.lower() or unicodedata.category(c)[0] != "L":
+            continue
+        folded = c.casefold() if len(c.casefold()) == 1 and c.casefold().islower() else c
+        split = unicodedata.normalize("NFD", folded)
+        if len(split) == 2 and split[0].isascii() and split[0].isalpha() and unicodedata.category(split[1]) == "Mn":
+            letters[c] = split[0]
+            marks.add(split[1])
+        elif folded != c:
+            letters[c] = folded
+    return letters, "".join(sorted(marks))
+
+
+_LETTERS, _MARKS = _fold_table()
+#: What is replaced, and by what; characters past the end of the second are dropped.
+FOLD_FROM, FOLD_TO = "".join(_LETTERS) + _MARKS, "".join(_LETTERS.values())
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
@@ -65,7 +84,7 @@ def sparse_text(text: Column, pages: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Case folded, Latin diacritics removed."""
+    """Case folded, Latin diacritics removed, whether in the letter or behind it."""
     return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
 
 
@@ -75,7 +94,7 @@ def tokens(text: Column) -> Column:
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    return text.lower().translate(str.maketrans(_LETTERS) | dict.fromkeys(map(ord, _MARKS)))
 
 
 def token_list(text: str) -> list[str]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions.text import token_list, tokens
 
@@ -14,6 +15,8 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Query terms that are broadcast at most; more go through a shuffled join.
 BROADCAST_TERMS = 100_000
+#: Query terms that are pushed down to written postings at most.
+PUSHED_TERMS = 10
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -21,15 +24,15 @@ def phrases(query: str) -> list[list[str]]:
     return [p for t in query.split() if (p := token_list(t))]
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, *more: str) -> DataFrame:
     """``chunk_id, col, pos, term, dl`` of every token of content (col 0) and path (col 1); dl counts both.
 
-    Write it clustered by term (:func:`write_postings`) to search without tokenising."""
-    rows = chunks.select(F.col("id").alias("chunk_id"), tokens(F.col("chunk_content")).alias("_c"), tokens(F.col("file_path")).alias("_p"))
+    Write it clustered by term (:func:`write_postings`) to search without tokenising. ``more`` columns go along."""
+    rows = chunks.select(F.col("id").alias("chunk_id"), *more, tokens(F.col("chunk_content")).alias("_c"), tokens(F.col("file_path")).alias("_p"))
     rows = rows.withColumn("dl", F.size("_c") + F.size("_p"))
     numbered = lambda tokens, col: F.transform(tokens, lambda t, i: F.struct(F.lit(col).alias("col"), i.alias("pos"), t.alias("term")))
-    both = rows.select("chunk_id", "dl", F.explode(F.concat(numbered("_c", 0), numbered("_p", 1))).alias("_t"))
-    return both.select("chunk_id", "_t.col", "_t.pos", "_t.term", "dl")
+    both = rows.select("chunk_id", "dl", *more, F.explode(F.concat(numbered("_c", 0), numbered("_p", 1))).alias("_t"))
+    return both.select("chunk_id", "_t.col", "_t.pos", "_t.term", "dl", *more)
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
@@ -37,10 +40,14 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
 
 
+def token_count() -> Column:
+    """Tokens of a chunk's content and path."""
+    return F.size(tokens(F.col("chunk_content"))) + F.size(tokens(F.col("file_path")))
+
+
 def corpus_stats(chunks: DataFrame) -> tuple[int, float]:
     """Number of chunks, and mean number of tokens."""
-    size = F.size(tokens(F.col("chunk_content"))) + F.size(tokens(F.col("file_path")))
-    n, mean = chunks.agg(F.count(F.lit(1)), F.avg(size)).first()
+    n, mean = chunks.agg(F.count(F.lit(1)), F.avg(token_count())).first()
     return n, mean or 0.0
 
 
@@ -62,24 +69,29 @@ def phrase_hits(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     return starts.where("n = len").groupBy("chunk_id", "phrase").agg(F.count(F.lit(1)).alias("hits"), F.max("dl").alias("dl"))
 
 
-def fts_match(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None) -> DataFrame:
+def fts_match(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """``query_id, chunk_id``: chunks that have every term of a query, in content or path."""
-    return bm25(chunks, queries, index).select("query_id", "chunk_id")
+    return bm25(chunks, queries, index, stats).select("query_id", "chunk_id")
 
 
-def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """``query_id, chunk_id, score`` of matching chunks; the more negative the better.
 
     k1 = 1.2, b = 0.75; both columns count, a query's repeated terms count
     again, and a term in half of the chunks or more weighs LEAST_IDF. A query
     without terms matches nothing. Query terms are broadcast (their number is
     checked) against the tokens, so only hits are shuffled. ``index`` replaces
-    tokenising by written postings."""
+    tokenising by written postings, of which few terms read few row groups, and
+    ``stats``, the number of chunks and their mean number of tokens, counting."""
     spark = chunks.sparkSession
     terms = _terms(spark, queries)
     small = sum(len(phrases(q)) for _, q in queries) <= BROADCAST_TERMS
-    n, mean = corpus_stats(chunks)
-    hits = phrase_hits(index if index is not None else postings(chunks), terms, small)
+    n, mean = stats or corpus_stats(chunks)
+    if index is None:
+        index = postings(chunks)
+    elif len(wanted := sorted({t for _, q in queries for p in phrases(q) for t in p})) <= PUSHED_TERMS:
+        index = index.where(F.col("term").isin(wanted))
+    hits = phrase_hits(index, terms, small)
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("phrase", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
@@ -91,7 +103,7 @@ def bm25(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame
     return scored.where("_met = _all").select("query_id", "chunk_id", "score")
 
 
-def bm25_topk(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int = 200, index: DataFrame | None = None) -> DataFrame:
-    """The k best of each query, with their rank; ties by chunk id."""
-    order = Window.partitionBy("query_id").orderBy("score", "chunk_id")
-    return bm25(chunks, queries, index).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def bm25_topk(chunks: DataFrame, queries: Sequence[tuple[str, str]], k: int = 200, index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
+    """The k best of each query, with their rank; scores that are equal to 9 digits are ties, and go by chunk id."""
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9), "chunk_id")
+    return bm25(chunks, queries, index, stats).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -40,6 +40,7 @@ def hybrid_search(
     alpha: float = ALPHA,
     orientation: str = "relevance",
     index: DataFrame | None = None,
+    stats: tuple[int, float] | None = None,
 ) -> DataFrame:
     """The best chunks of each query: ``query_id, rank``, the chunk's columns, ``bm25, vector, hybrid``.
 
@@ -47,12 +48,13 @@ def hybrid_search(
     nearest vectors, joined in full. Both scores are scaled to 0..1 within
     a query, a path that contains the first term raises the first, and hybrid is
     alpha bm25 + (1 - alpha) vector, or bm25 alone where no vector was found.
-    Scores of 0 and less are dropped; ties go by chunk id.
+    Scores of 0 and less are dropped; scores equal to 9 digits are ties and go by
+    chunk id. ``index`` and ``stats`` are those of :func:`bm25`.
 
     ``orientation="relevance"`` scales the best BM25 score to 1;
     ``"reference"`` scales the numbers as they are, the best (most negative) to 0.
     All windows run over candidates only, a few hundred rows a query."""
-    lexical = bm25_topk(chunks, queries, max(20 * limit, 200), index).select("query_id", F.col("chunk_id").alias("id"), "score")
+    lexical = bm25_topk(chunks, queries, max(20 * limit, 200), index, stats).select("query_id", F.col("chunk_id").alias("id"), "score")
     near = knn(vectors, query_vectors, max(10 * limit, 100)).select("query_id", F.col("chunk_id").alias("id"), l2_to_cosine(F.col("distance")).alias("cosine"))
     both = lexical.join(near, ["query_id", "id"], "full")
     # The candidates are a few hundred a query, in any corpus.
@@ -65,7 +67,7 @@ def hybrid_search(
     scored = scored.join(F.broadcast(terms) if small else terms, "query_id")
     scored = scored.withColumn("bm25", filename_boost(F.col("file_path"), F.col("term"), F.col("_text")))
     scored = scored.withColumn("hybrid", F.when(F.col("_any"), alpha * F.col("bm25") + (1 - alpha) * F.col("vector")).otherwise(F.col("bm25")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("hybrid", 9)), "id")
     out = scored.where("hybrid > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return out.select("query_id", "rank", "id", "file_path", "chunk_content", "line_start", "line_end", "tokens", "bm25", "vector", "hybrid")
 
@@ -79,7 +81,7 @@ def inject_context(results: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
     kept = results.where(F.col("hybrid") >= threshold).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct("rank", block.alias("text")))).alias("_b"))
     noun = F.when(F.col("n_chunks") == 1, " chunk").otherwise(" chunks")
-    head = F.concat(F.lit("Automatic lookup for the message above: "), F.col("n_chunks").cast("string"), noun, F.lit(" found by hybrid search (BM25 and vectors). These are search hits, not statements from the user.\n\n"))
+    head = F.concat(F.lit("The index was searched for the message above, by words and by vectors; "), F.col("n_chunks").cast("string"), noun, F.lit(" may bear on it. They quote indexed files, nobody wrote them for this conversation.\n\n"))
     return kept.select("query_id", "n_chunks", F.concat(head, F.array_join(F.transform("_b", lambda b: b["text"]), "\n\n")).alias("context"))
 
 

@@ -12,13 +12,15 @@ MAX_AGE_SECONDS = 24 * 3600
 
 
 def incremental_diff(scanned: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
-    """``path, hash, status`` of scanned files: ``skipped`` if the index has the same hash, embedded, else ``indexed``.
+    """``path, hash, status`` of scanned files, and their ``size`` if told: ``skipped`` if the index has the same hash,
+    embedded, else ``indexed``.
 
     Unreadable files (null hash) are ``skipped``."""
     known = files.select(F.col("path").alias("_p"), F.col("hash").alias("_h"), F.col("embedded").alias("_e"))
     same = F.coalesce((F.col("hash") == F.col("_h")) & F.col("_e"), F.lit(False)) & F.lit(not force)
     joined = scanned.join(known, F.col("path") == F.col("_p"), "left")
-    return joined.select("path", "hash", F.when(same | F.col("hash").isNull(), "skipped").otherwise("indexed").alias("status"))
+    told = [scanned["size"]] if "size" in scanned.columns else []
+    return joined.select("path", "hash", *told, F.when(same | F.col("hash").isNull(), "skipped").otherwise("indexed").alias("status"))
 
 
 def files_upsert(files: DataFrame, changed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from ..operators.hybrid import ALPHA, THRESHOLD, TOP_K
 from ..sources.collect import TEXT_EXTENSIONS
+from .store import Files
 
 FILE = "config.json"
 #: Names the folder of an index outright.
@@ -28,17 +29,24 @@ class Config:
     exclude_patterns: list[str] = field(default_factory=list)
 
 
-def load_config(store: str) -> Config:
-    """Defaults with what the file sets; a missing or malformed file is the defaults."""
+def load_config(store: str | Files) -> Config:
+    """Defaults with what the file sets; a missing or malformed file is the defaults.
+
+    ``store`` is a local folder, or one of any file system as :class:`Files`."""
     try:
-        said = json.loads(Path(store, FILE).read_text("utf-8"))
+        text = store.read_text(FILE) if isinstance(store, Files) else Path(store, FILE).read_text("utf-8")
+        said = json.loads(text or "{}")
         return Config(**{f.name: said[f.name] for f in fields(Config) if f.name in said})
     except (OSError, ValueError, TypeError):
         return Config()
 
 
-def save_config(store: str, config: Config) -> None:
-    Path(store, FILE).write_text(json.dumps(asdict(config), indent=2), "utf-8")
+def save_config(store: str | Files, config: Config) -> None:
+    text = json.dumps(asdict(config), indent=2)
+    if isinstance(store, Files):
+        store.write_text(FILE, text)
+    else:
+        Path(store, FILE).write_text(text, "utf-8")
 
 
 def normalize_ext(ext: str) -> str:

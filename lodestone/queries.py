@@ -7,6 +7,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -61,8 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or in local mode a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{top.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
@@ -349,11 +354,6 @@ def rebuild_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_state.rebuild_mark(files(spark, sf_dir), _target(spark, sf_dir))
 
 
-@query(f"SELECT {_COLS} FROM ({FILES_SQL}) WHERE false")
-def rebuild_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("false")
-
-
 @query(f"""
 WITH RECURSIVE {CHUNKS}, v AS (SELECT count(*) AS n FROM chunks WHERE line_start = 1)
 SELECT (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(*) FROM ({FILES_SQL})) AS total_files, (SELECT coalesce(sum(tokens), 0)::BIGINT FROM chunks) AS total_tokens,
@@ -371,28 +371,49 @@ def stale_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The stored index
 
 
-@query(f"WITH RECURSIVE {CHUNKS} SELECT {_CHUNK_COLS} FROM chunks")
+@query(f"""
+WITH RECURSIVE {CHUNKS} SELECT {_CHUNK_COLS} FROM chunks JOIN src ON path = file_path WHERE doc_id % 5 <> 0 OR path LIKE '%.md'""")
 def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, _scratch(spark))
     chunks = chunk_documents(corpus(spark, sf_dir)).withColumn("indexed_at", F.lit(NOW).cast("timestamp"))
-    store.commit({"chunks": chunks}, {"last_build": NOW.isoformat()})
+    change = store.change()
+    change.write("chunks", chunks.withColumn("_dl", F.lit(0)), "file_path")
+    change.remove(corpus(spark, sf_dir).where("doc_id % 3 = 0"))
+    change.commit({"last_build": NOW.isoformat()})
+    late = store.change()
+    late.remove(corpus(spark, sf_dir).where("doc_id % 5 = 0"))
+    late.write("chunks", chunks.where("file_path LIKE '%.md'").withColumn("_dl", F.lit(0)), "file_path")
+    late.remove(corpus(spark, sf_dir).where("path LIKE '%.md'"))
+    late.commit()
     return store.table("chunks").drop("indexed_at")
 
 
-def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of the corpus as an index stores them: searches read them, and don't cut texts again."""
-    path = _scratch(spark)
-    chunk_documents(corpus(spark, sf_dir)).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
-    top = _scratch(spark)
-    engine = Engine(spark, top, dim=DIM, now=lambda: NOW)
+    engine = Engine(spark, _scratch(spark), dim=DIM, embed_query=lambda t: hash_embed(t, DIM), now=lambda: NOW)
     engine.index_texts(corpus(spark, sf_dir))
     return engine
 
 
+_prepared: dict[tuple[str, str], Engine] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> Engine:
+    """The index that the search queries of a session read: made by the first, as searches come after indexing."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _prepared:
+        _prepared[key] = _indexed(spark, sf_dir)
+    engine = _prepared[key]
+    engine.spark = engine.store.spark = spark
+    return engine
+
+
+def searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[int, float]]:
+    """Stored chunks and postings, and the corpus' figures."""
+    store = prepared(spark, sf_dir).store
+    said = store.snapshot().metadata
+    return store.table("chunks"), store.table("postings"), (int(said["chunks"]), int(said["length"]) / max(int(said["chunks"]), 1))
+
+
 @query(f"WITH RECURSIVE {CHUNKS} SELECT {_CHUNK_COLS} FROM chunks")
 def load_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir).store.table("chunks").drop("indexed_at")
@@ -405,6 +426,25 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir).store.table("files").drop("indexed")
 
 
+@query(f"SELECT path, hash, size, true AS embedded FROM (SELECT path, doc_id, {_SHA.format('text')} AS hash, {_UNITS.format('text')}::BIGINT AS size FROM ({CORPUS_SQL})) WHERE doc_id % 3 = 0")
+def rebuild_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index started anew in one commit: files that aren't targets are gone."""
+    engine = _indexed(spark, sf_dir)
+    engine.index_texts(corpus(spark, sf_dir).where("doc_id % 3 = 0"), replace=True)
+    return engine.store.table("files").select("path", "hash", "size", "embedded")
+
+
+@query(f"""
+WITH RECURSIVE {CHUNKS}, n AS (SELECT file_path AS path, count(*)::INT AS c FROM chunks GROUP BY 1)
+SELECT path, CASE WHEN doc_id % 4 = 0 THEN {_SHA.format("text || 'x'")} ELSE {_SHA.format("text")} END AS hash,
+       CASE WHEN doc_id % 4 = 0 THEN {_UNITS.format("text")} + 1 ELSE {_UNITS.format("text")} END::BIGINT AS size, true AS embedded FROM src""")
+def refresh_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second commit over the first: changed files replace their rows, the others stay where they are."""
+    engine = _indexed(spark, sf_dir)
+    engine.index_texts(corpus(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
+    return engine.store.table("files").select("path", "hash", "size", "embedded")
+
+
 @query(f"SELECT 'c' || doc_id AS id, {PATH_SQL} AS file_path, text AS chunk_content, doc_id % 2 = 0 AS embedded FROM documents")
 def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
@@ -458,15 +498,36 @@ def extract_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_files(packs).select("path", "text")
 
 
-@query()
+_CMAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+
+
+def pdf_of(text: str) -> bytes:
+    """A PDF of one page that shows the lines of a text, in UTF-16, compressed."""
+    lines = "".join(f"<{line.encode('utf-16-be').hex()}> Tj T*\n" for line in text.split("\n") if line)
+    page = zlib.compress(f"BT /F1 12 Tf 14 TL 72 720 Td\n{lines}ET".encode())
+    parts = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 4 0 R >> >> >>", b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>",
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /Any /Encoding /Identity-H /ToUnicode 6 0 R >>",
+        b"<< /Length %d /Filter /FlateDecode >>\nstream\n%b\nendstream" % (len(page), page), b"<< /Length %d >>\nstream\n%b\nendstream" % (len(_CMAP), _CMAP),
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%b\nendobj\n" % (i, p) for i, p in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+@query(f"SELECT {PATH_SQL} || '.pdf' AS path, array_to_string(list_filter(string_split(text, chr(10)), lambda l: l <> ''), chr(10)) AS text FROM documents")
 def extract_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without pypdf, or for bytes that are no PDF, a row says why there is no text."""
-    packs = corpus(spark, sf_dir).select(F.concat("path", F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return extract.extract_files(packs).select("path", "text", F.col("error").isNotNull().alias("failed"))
+    """Documents as PDF, a line of text a line, and read again."""
+
+    @F.arrow_udf("binary")
+    def packed(text: pa.Array) -> pa.Array:
+        return pa.array([pdf_of(t) for t in text.to_pylist()], pa.binary())
+
+    packs = corpus(spark, sf_dir).select(F.concat("path", F.lit(".pdf")).alias("path"), packed("text").alias("content"))
+    return extract.extract_files(packs).select("path", "text")
 
 
 @query()
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages that OCR would use on this machine, null without the tools; reading by OCR is covered by the tests."""
     langs = extract.ocr_languages()
     return spark.createDataFrame([(langs is not None, langs)], "available boolean, langs string")
 
@@ -498,17 +559,18 @@ BM25 = f"WITH RECURSIVE {CHUNKS}, {_BM25}"
 
 @query(f"{BM25} SELECT query_id, id AS chunk_id FROM bm")
 def fts_match_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts_match(stored_chunks(spark, sf_dir), QUERIES)
+    chunks, index, stats = searched(spark, sf_dir)
+    return fts_match(chunks, QUERIES, index, stats)
 
 
 _queries["fts_match"], _sql["fts_match"] = _queries.pop("fts_match_"), _sql.pop("fts_match_")
 
 
-@query(f"""{BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM bm)
-SELECT query_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50""")
+@query(f"""{BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id)::INT AS rank FROM bm)
+SELECT query_id, id AS chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50""")
 def bm25_topk_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Scores that differ in the last bits only may swap ids; rank and score can't.
-    return bm25_topk(stored_chunks(spark, sf_dir), QUERIES, 50).select("query_id", "rank", F.round("score", 6).alias("score"))
+    chunks, index, stats = searched(spark, sf_dir)
+    return bm25_topk(chunks, QUERIES, 50, index, stats).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 _queries["bm25_topk"], _sql["bm25_topk"] = _queries.pop("bm25_topk_"), _sql.pop("bm25_topk_")
@@ -520,9 +582,9 @@ _BOOSTS = ", ".join(f"('{q}', '{b}')" if (b := hybrid.boost_term(t)) else f"('{q
 SELECT query_id, id AS chunk_id, round(CASE WHEN strpos(lower(file_path), term) > 0 THEN least(1, 1.5 * (1 / (1 - score))) ELSE 1 / (1 - score) END, 6) AS boosted
 FROM bm JOIN boosts USING (query_id) JOIN chunks USING (id)""")
 def filename_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = stored_chunks(spark, sf_dir)
+    chunks, index, stats = searched(spark, sf_dir)
     terms = spark.createDataFrame([(q, hybrid.boost_term(t)) for q, t in QUERIES], "query_id string, term string")
-    found = bm25(chunks, QUERIES).join(chunks.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").join(F.broadcast(terms), "query_id")
+    found = bm25(chunks, QUERIES, index, stats).join(chunks.select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id").join(F.broadcast(terms), "query_id")
     return found.select("query_id", "chunk_id", F.round(hybrid.filename_boost(F.col("file_path"), F.col("term"), 1 / (1 - F.col("score"))), 6).alias("boosted"))
 
 
@@ -534,8 +596,8 @@ def _hybrid_sql(flip: bool) -> str:
     return f"""{BM25}, {_EMBED}, boosts(query_id, term) AS (VALUES {_BOOSTS}), qv(query_id, q) AS (VALUES {_QVECS}),
 near AS (
   SELECT query_id, id, 1 - d * d / 2 AS cosine FROM (SELECT query_id, id, list_distance(q, list_transform(e, lambda x: coalesce(x, 0)::DOUBLE)) AS d FROM emb, qv)
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 100
-), lex AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 200),
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) <= 100
+), lex AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) <= 200),
 both_ AS (SELECT query_id, id, score, cosine FROM lex FULL JOIN near USING (query_id, id)),
 sc AS (
   SELECT query_id, id, CASE WHEN score IS NULL THEN 0 WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE {text} / (max(score) OVER w - min(score) OVER w) END AS t,
@@ -545,22 +607,20 @@ sc AS (
   SELECT query_id, id, file_path, chunk_content, line_start, line_end, tokens, v,
          CASE WHEN strpos(lower(file_path), term) > 0 THEN least(1, 1.5 * t) ELSE t END AS b FROM sc JOIN chunks USING (id) JOIN boosts USING (query_id)
 ), ranked AS (
-  SELECT *, 0.4::DOUBLE * b + 0.6::DOUBLE * v AS hy, row_number() OVER (PARTITION BY query_id ORDER BY 0.4::DOUBLE * b + 0.6::DOUBLE * v DESC, id)::INT AS rank
+  SELECT *, 0.4::DOUBLE * b + 0.6::DOUBLE * v AS hy, row_number() OVER (PARTITION BY query_id ORDER BY round(0.4::DOUBLE * b + 0.6::DOUBLE * v, 9) DESC, id)::INT AS rank
   FROM h WHERE 0.4::DOUBLE * b + 0.6::DOUBLE * v > 0 QUALIFY rank <= 10
 )"""
 
 
 def _search(spark: SparkSession, sf_dir: str, orientation: str) -> DataFrame:
-    chunks = stored_chunks(spark, sf_dir)
-    vectors = chunks.select(F.col("id").alias("chunk_id"), hashing_embedding(F.col("chunk_content"), DIM).alias("embedding"))
-    return hybrid.hybrid_search(chunks, vectors, QUERIES, [(q, hash_embed(t, DIM)) for q, t in QUERIES], orientation=orientation)
+    return prepared(spark, sf_dir).search(QUERIES, orientation=orientation)
 
 
-_SHOWN = "SELECT query_id, rank, round(b, 5) AS bm25, round(v, 5) AS vector, round(hy, 5) AS hybrid FROM ranked"
+_SHOWN = "SELECT query_id, rank, id, round(b, 5) AS bm25, round(v, 5) AS vector, round(hy, 5) AS hybrid FROM ranked"
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return found.select("query_id", "rank", *(F.round(c, 5).alias(c) for c in ("bm25", "vector", "hybrid")))
+    return found.select("query_id", "rank", "id", *(F.round(c, 5).alias(c) for c in ("bm25", "vector", "hybrid")))
 
 
 @query(f"{_hybrid_sql(True)} {_SHOWN}")
@@ -574,8 +634,8 @@ def hybrid_search_refcompat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_hybrid_sql(True)}
-SELECT query_id, count(*) AS n_chunks, concat('Automatic lookup for the message above: ', count(*), CASE WHEN count(*) = 1 THEN ' chunk' ELSE ' chunks' END,
-  ' found by hybrid search (BM25 and vectors). These are search hits, not statements from the user.', chr(10), chr(10),
+SELECT query_id, count(*) AS n_chunks, concat('The index was searched for the message above, by words and by vectors; ', count(*), CASE WHEN count(*) = 1 THEN ' chunk' ELSE ' chunks' END,
+  ' may bear on it. They quote indexed files, nobody wrote them for this conversation.', chr(10), chr(10),
   string_agg(concat('### ', regexp_extract(file_path, '[^/]*$'), ' (lines ', line_start, '-', line_end, ')', chr(10), '```', chr(10), substr(chunk_content, 1, 600), chr(10), '```'), chr(10) || chr(10) ORDER BY rank)) AS context
 FROM ranked WHERE hy >= 0.1 GROUP BY query_id""")
 def inject_context(spark: SparkSession, sf_dir: str) -> DataFrame:

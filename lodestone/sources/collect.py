@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -42,18 +44,22 @@ def indexable(rel: Column, size: Column, extensions: Iterable[str] = TEXT_EXTENS
     return fits & ~skipped & ~ignored(rel, excludes)
 
 
-def walk(root: str) -> Iterable[tuple[str, str, int]]:
-    """Path, path below the root and size of each file; a file is its own root. Unreadable ones are passed over.
+def _entered(name: str) -> bool:
+    return name not in SKIPPED_DIRS and not name.startswith(".")
+
+
+def walk(root: str, top: str | None = None, deep: bool = True) -> Iterator[tuple[str, str, int]]:
+    """Path, path below ``root`` and size of each file below ``top`` (default: the root), or only of those in it unless
+    ``deep``. A file is its own root. Unreadable ones are passed over.
 
     Directories that the rules skip aren't entered, nor are links to directories."""
-    root = os.path.abspath(root)
     if os.path.isfile(root):
         yield root, os.path.basename(root), os.path.getsize(root)
         return
-    for top, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS and not d.startswith("."))
+    for at, dirs, names in os.walk(top or root):
+        dirs[:] = sorted(filter(_entered, dirs)) if deep else []
         for name in sorted(names):
-            path = os.path.join(top, name)
+            path = os.path.join(at, name)
             try:
                 yield path, os.path.relpath(path, root), os.stat(path).st_size
             except OSError:
@@ -63,9 +69,25 @@ def walk(root: str) -> Iterable[tuple[str, str, int]]:
 def collect_files(spark: SparkSession, root: str, extensions: Iterable[str] = TEXT_EXTENSIONS, excludes: Sequence[str] = ()) -> DataFrame:
     """``path, size`` of the files below a root, or of the root itself, that are indexed.
 
-    The file reader of Spark hides names that start with ``_`` or ``.``, so the
-    listing is made on the driver: names only, no contents."""
-    listing = spark.createDataFrame(list(walk(root)), LISTING)
+    The file reader of Spark hides names that start with ``_`` or ``.``, so
+    executors walk the folders: the driver names only those directly below the
+    root, and each is a task's (on a file system that all of them mount)."""
+    root = os.path.abspath(root)
+    try:
+        below = sorted(e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and _entered(e.name))
+    except OSError:  # a file, or nothing
+        below = []
+    tops = [(root, False), *((path, True) for path in below)]
+
+    def listed(batches):
+        for b in batches:
+            for top, deep in zip(b.column("top").to_pylist(), b.column("deep").to_pylist(), strict=True):
+                found = walk(root, top, deep)
+                while rows := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "rel", "size"])
+
+    parts = min(len(tops), 4 * spark.sparkContext.defaultParallelism)
+    listing = spark.createDataFrame(tops, "top string, deep boolean").repartition(parts).mapInArrow(listed, LISTING)
     return listing.where(indexable(F.col("rel"), F.col("size"), list(extensions), excludes)).select("path", "size")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .pdf import page_texts
+
 REMOVED = {"script", "style", "nav", "footer"}
 BLOCKS = {"p", "div", "section", "article", "header", "main", "aside", "ul", "ol", "table", "tr", "form", "figure", "blockquote", "title", "body", "html", "head"}
 EMPTY = {"meta", "link", "img", "input", "hr", "br", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -30,7 +32,8 @@ class _Markdown(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden: list[str] = []
+        self.open: list[str] = []  # elements that aren't closed yet
+        self.hidden = 0  # how many of them, from the outermost that is removed on
         self.pre = 0
         self.lists: list[list] = []
         self.links: list[str | None] = []
@@ -39,9 +42,10 @@ class _Markdown(HTMLParser):
         self.out.append("\n" * n)
 
     def handle_starttag(self, tag, attrs):
+        if tag not in EMPTY:
+            self.open.append(tag)
         if self.hidden or tag in REMOVED:
-            if tag not in EMPTY and (tag in REMOVED or self.hidden):
-                self.hidden.append(tag)
+            self.hidden += tag not in EMPTY
             return
         attrs = dict(attrs)
         if re.fullmatch("h[1-6]", tag):
@@ -78,10 +82,14 @@ class _Markdown(HTMLParser):
             self._block()
 
     def handle_endtag(self, tag):
-        if self.hidden:
-            if tag in self.hidden:
-                while self.hidden and self.hidden.pop() != tag:
-                    pass
+        if tag in self.open:  # it ends what was opened in it, too
+            closed = len(self.open) - self.open[::-1].index(tag) - 1
+            outer = len(self.open) - self.hidden
+            del self.open[closed:]
+            was, self.hidden = self.hidden, max(len(self.open) - outer, 0)
+            if was and closed >= outer:
+                return
+        elif self.hidden:
             return
         if tag == "pre" and self.pre:
             self.pre -= 1
@@ -178,15 +186,20 @@ def ocr_languages() -> str | None:
 
 
 def ocr_pdf(content: bytes, langs: str, pages: int = 200, seconds: int = 60) -> str:
-    """Text of the page images of a PDF; a page that fails is empty. ``pages`` bounds what is rendered."""
+    """Text of the images of the first ``pages`` pages of a PDF; a page that fails or takes longer is empty.
+
+    Rendering has so many seconds a page in all; without images the text is empty."""
     with tempfile.TemporaryDirectory() as top:
         source = os.path.join(top, "in.pdf")
         with open(source, "wb") as f:
             f.write(content)
-        if subprocess.run(["pdftoppm", "-png", "-r", "200", source, os.path.join(top, "p")], capture_output=True).returncode:
+        try:
+            if subprocess.run(["pdftoppm", "-png", "-r", "200", "-l", str(pages), source, os.path.join(top, "p")], capture_output=True, timeout=seconds * pages).returncode:
+                return ""
+        except subprocess.SubprocessError:
             return ""
         out = []
-        for name in sorted(x for x in os.listdir(top) if x.startswith("p-") and x.endswith(".png"))[:pages]:
+        for name in sorted(x for x in os.listdir(top) if x.startswith("p-") and x.endswith(".png")):
             try:
                 said = subprocess.run(["tesseract", os.path.join(top, name), "-", "-l", langs], capture_output=True, timeout=seconds)
                 out.append(said.stdout.decode("utf-8", "replace") if not said.returncode else "")
@@ -200,13 +213,9 @@ def is_sparse(text: str, pages: int) -> bool:
 
 
 def pdf_text(content: bytes) -> str:
-    """Text layer of a PDF, or its OCR if that is longer where the layer is sparse. Needs pypdf."""
-    try:
-        import pypdf
-    except ImportError as e:
-        raise ValueError("reading PDF needs pypdf") from e
-    pages = pypdf.PdfReader(io.BytesIO(content)).pages
-    text = "\n\n".join(p.extract_text() or "" for p in pages)
+    """Text layer of a PDF, or its OCR if that is longer where the layer is sparse."""
+    pages = page_texts(content)
+    text = "\n\n".join(pages)
     if is_sparse(text, len(pages)) and (langs := ocr_languages()):
         seen = ocr_pdf(content, langs)
         text = seen if len(seen.strip()) > len(text.strip()) else text
@@ -231,14 +240,23 @@ def extract(path: str, content: bytes) -> tuple[str, str, int]:
     return text, _sha12(raw.encode()), len(raw.encode("utf-16-le")) // 2
 
 
-def extract_rows(rows: Iterable[tuple[str, bytes | None]]) -> list[dict]:
+def fingerprint(path: str, content: bytes) -> tuple[str, int]:
+    """Hash and size of a file's bytes as :func:`extract` tells them; only binary documents are parsed, to learn whether they can be."""
+    if os.path.splitext(path)[1].lower() in (".pdf", ".docx"):
+        return extract(path, content)[1:]
+    raw = content.decode("utf-8", "replace")
+    return _sha12(raw.encode()), len(raw.encode("utf-16-le")) // 2
+
+
+def extract_rows(rows: Iterable[tuple[str, bytes | None]], prints: bool = False) -> list[dict]:
+    """Rows of EXTRACTED; with ``prints`` without texts."""
     out = []
     for path, content in rows:
         try:
             if content is None:
                 with open(path, "rb") as f:
                     content = f.read()
-            text, digest, size = extract(path, content)
+            text, digest, size = (None, *fingerprint(path, content)) if prints else extract(path, content)
             out.append({"path": path, "text": text, "hash": digest, "size": size, "error": None})
         except Exception as e:  # unreadable files are counted, not fatal
             out.append({"path": path, "text": None, "hash": None, "size": None, "error": f"{type(e).__name__}: {e}"[:200]})
@@ -249,9 +267,18 @@ EXTRACTED = "path string, text string, hash string, size long, error string"
 _ARROW = pa.schema([("path", pa.string()), ("text", pa.string()), ("hash", pa.string()), ("size", pa.int64()), ("error", pa.string())])
 
 
+def fingerprint_files(files: DataFrame) -> DataFrame:
+    """``path, hash, size, error`` of files, without their texts."""
+    return _extracted(files, True).drop("text")
+
+
 def extract_files(files: DataFrame) -> DataFrame:
     """``path, text, hash, size, error`` of files; bytes come from a column ``content`` if there is one,
     else executors open the path (a file system that all of them mount)."""
+    return _extracted(files, False)
+
+
+def _extracted(files: DataFrame, prints: bool) -> DataFrame:
     has = "content" in files.columns
     rows = files.select("path", *(["content"] if has else []))
 
@@ -261,6 +288,6 @@ def extract_files(files: DataFrame) -> DataFrame:
             for i in range(0, len(paths), 64):
                 part = paths[i : i + 64]
                 contents = b.column("content").slice(i, 64).to_pylist() if has else [None] * len(part)
-                yield pa.RecordBatch.from_pylist(extract_rows(zip(part, contents, strict=True)), _ARROW)
+                yield pa.RecordBatch.from_pylist(extract_rows(zip(part, contents, strict=True), prints), _ARROW)
 
     return rows.mapInArrow(read, EXTRACTED)

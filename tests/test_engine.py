@@ -3,12 +3,17 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import zipfile
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import Engine
+from lodestone.functions.embed import model_embedder, model_embedding
+from lodestone.operators.fulltext import bm25
 from lodestone.plans import config as cf
-from lodestone.plans.store import Store
+from lodestone.plans.store import Change, Conflict, Store
 from lodestone.streaming.ingest import index_stream
 
 
@@ -68,8 +73,8 @@ def test_stale_and_inject(project):
 def test_tools_and_status(project):
     root, engine, _ = project
     assert engine.tool_query("user").startswith("The index is empty")
-    assert engine.tool_index(str(root / "none")).startswith("Path not found")
-    assert engine.tool_index(str(root)).startswith("Indexed 3 files (2 chunks")
+    assert "nothing at" in engine.tool_index(str(root / "none"))
+    assert engine.tool_index(str(root)).startswith("3 files are new or changed and were cut into 2 chunks")
     assert json.loads(engine.tool_query("invoice"))[0]["file"].endswith("pay.md")
     status = json.loads(engine.tool_status())
     assert status["files"] == 3 and status["coverage"] == "100%" and status["scope"] == "project"
@@ -94,18 +99,197 @@ def test_extensions_and_excludes(project):
         engine.exclude("-none")
 
 
+FILES = "path string, hash string, chunks int, indexed timestamp, size long, embedded boolean"
+
+
+def some_files(spark, *names):
+    return spark.createDataFrame([(n, "h", 1, dt.datetime(2024, 1, 1), 2, True) for n in names], FILES)
+
+
+def added(store, files, base=None):
+    change = store.change(base)
+    change.write("files", files, "path")
+    return change
+
+
 def test_store_is_atomic(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"))
-    files = spark.createDataFrame([("/a", "h", 1, dt.datetime(2024, 1, 1), 2, True)], "path string, hash string, chunks int, indexed timestamp, size long, embedded boolean")
-    store.commit({"files": files}, {"k": "v"})
+    store, files = Store(spark, str(tmp_path / "s")), some_files(spark, "/a")
+    added(store, files).commit({"k": "v"})
     old = store.snapshot()
     with pytest.raises(Exception):
-        store.commit({"files": files.selectExpr("path", "raise_error('x') as hash", "chunks", "indexed", "size", "embedded")})
+        added(store, files.selectExpr("path", "raise_error('x') as hash", "chunks", "indexed", "size", "embedded")).commit()
     assert store.snapshot() == old and store.table("files").count() == 1
-    store.commit({"files": store.table("files").where("false")})
+    store.change(clear=True).commit()
     assert store.table("files", old).count() == 1 and store.table("files").count() == 0
-    store.vacuum()
-    assert store.snapshot().metadata == {"k": "v"}
+    store.vacuum()  # too young to go
+    assert store.table("files", old).count() == 1
+    store.vacuum(-1)
+    assert store.snapshot().metadata == {"k": "v"} and not list((tmp_path / "s/data").iterdir())
+
+
+def test_two_writers(spark, tmp_path):
+    """Writers that start from one version: the second fails, and what the first wrote stays whole."""
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    added(one, some_files(spark, "/old")).commit()
+    base = two.snapshot()
+    first, second = added(one, some_files(spark, "/a"), base), added(two, some_files(spark, "/b"), base)
+    first.commit()
+    with pytest.raises(Conflict):
+        second.commit()
+    for store in (one, two):
+        assert sorted(r["path"] for r in store.table("files").collect()) == ["/a", "/old"] and store.snapshot().version == 2
+    added(two, some_files(spark, "/b")).commit()
+    assert one.table("files").count() == 3 and not [p for p in (tmp_path / "s/manifests").iterdir() if p.suffix == ".tmp"]
+
+
+def test_segments_are_merged(spark, tmp_path):
+    """Many commits leave few segments; rows that were removed or replaced stay so."""
+    store, want = Store(spark, str(tmp_path / "s")), {}
+    for i in range(20):
+        change = store.change()
+        paths = [f"/{i % 7}", f"/new{i}"]
+        gone = spark.createDataFrame([(f"/{i % 7}",), (f"/new{i - 3}",)], "path string")
+        change.remove(gone)
+        change.write("files", some_files(spark, *paths).withColumn("size", F.lit(i).cast("long")), "path")
+        change.commit()
+        want.pop(f"/new{i - 3}", None)
+        want |= dict.fromkeys(paths, i)
+        assert {r["path"]: r["size"] for r in store.table("files").collect()} == want
+    segments = store.snapshot().segments["files"]
+    assert [s[2] for s in segments] == [1, 1, 0, 0, 0, 0] and len(store.snapshot().removed) <= 12
+
+
+def test_refresh_writes_what_changed(project):
+    root, engine, _ = project
+    for i in range(30):
+        (root / f"f{i}.md").write_text(f"file number {i} has some words\nand one more line of text\n")
+    engine.index_path(str(root))
+    before = engine.store.snapshot()
+    (root / "f3.md").write_text("file number three has other words\nand one more line of text\n")
+    assert counts(engine.refresh())[0] == 1
+    after = engine.store.snapshot()
+    assert after.segments["chunks"][:-1] == before.segments["chunks"]
+    new = engine.spark.read.parquet(f"{engine.store.root}/{after.segments['chunks'][-1][0]}")
+    assert [r["file_path"].rsplit("/", 1)[1] for r in new.collect()] == ["f3.md"]
+    assert engine.stats()["total_chunks"] == 32 and int(after.metadata["chunks"]) == 32
+    stored = {r["chunk_id"] for r in engine.store.table("postings").select("chunk_id").distinct().collect()}
+    assert stored == {r["id"] for r in engine.store.table("chunks").collect()}
+    assert engine.search("three").first()["file_path"].endswith("f3.md")
+
+
+def test_stored_search_equals_fresh(project):
+    """Stored postings and figures give the scores that the chunks' texts give, also after changes."""
+    root, engine, _ = project
+    engine.index_path(str(root))
+    (root / "pay.md").write_text("payment of two invoices\nby the user, in dollars and euro\n")
+    (root / "more.md").write_text("the user sees an invoice, an invoice and a token\n")
+    engine.refresh()
+    at = engine.store.snapshot()
+    n, length = int(at.metadata["chunks"]), int(at.metadata["length"])
+    chunks = engine.store.table("chunks")
+    asked = [("a", "the user"), ("b", "invoice"), ("c", "invoices"), ("d", "in euro")]
+    plain = {(r["query_id"], r["chunk_id"]): r["score"] for r in bm25(chunks, asked).collect()}
+    stored = {(r["query_id"], r["chunk_id"]): r["score"] for r in bm25(chunks, asked, engine.store.table("postings"), (n, length / n)).collect()}
+    assert stored == pytest.approx(plain) and len(plain) > 4
+
+
+def test_crash_inside_rebuild(project, monkeypatch):
+    """A rebuild that fails leaves the index as it was; one that succeeds is one version."""
+    root, engine, _ = project
+    engine.index_path(str(root))
+    (root / "pay.md").unlink()
+    before, rows = engine.store.snapshot(), engine.store.table("files").count()
+    for force in (False, True):
+        with monkeypatch.context() as m:
+            m.setattr(Change, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                engine.rebuild(force)
+        assert engine.store.snapshot() == before and engine.store.table("files").count() == rows and engine.stats()["coverage"] == 100
+    engine.rebuild(force=True)
+    assert engine.store.snapshot().version == before.version + 1 and engine.stats()["total_files"] == 2
+
+
+def test_unreadable_targets_stay_dirty(project):
+    root, engine, _ = project
+    engine.index_path(str(root))
+    (root / "pay.md").rename(root / "pay.pdf")
+    (root / "pay.pdf").write_bytes(b"no pdf at all")
+    assert counts(engine.refresh()) == (0, 0, 3)
+    good = root / "note.docx"
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>a note of some words in it</w:t></w:r></w:p></w:body></w:document>')
+    assert counts(engine.refresh())[0] == 1
+    good.write_bytes(b"broken")
+    done = engine.rebuild()
+    assert done["skipped"] == 2 and done["indexed"] == 2 and done["pruned"] == 1
+    files = {r["path"].rsplit("/", 1)[1]: r["embedded"] for r in engine.store.table("files").collect()}
+    assert files == {"auth.ts": True, "empty.txt": True, "note.docx": False} and engine.search("note").count() > 0
+
+
+def test_progress_completions_and_view(project):
+    root, engine, _ = project
+    seen = []
+    engine.progress = lambda event, what: seen.append((event, what))
+    engine.index_path(str(root))
+    assert [e for e, _ in seen] == ["file"] * 3 + ["chunk", "embed", "save"]
+    assert {w["path"].rsplit("/", 1)[1] for e, w in seen if e == "file"} == {"auth.ts", "pay.md", "empty.txt"} and seen[2][1]["current"] == seen[2][1]["total"] == 3
+    assert [c for c, _ in engine.completions("re")] == ["rebuild", "refresh"] and engine.completions("zz") is None
+    assert {"on", "off", "index"} <= {c for c, _ in engine.completions()}
+    view = engine.search_view("invoice")
+    assert "(hybrid BM25 and vectors)" in view[0] and any("pay.md" in line for line in view)
+    change = engine.store.change()
+    change.remove(engine.store.table("files"), ("vectors",))
+    change.commit()
+    assert "(BM25 only)" in engine.search_view("invoice")[0] and "Nothing" in engine.search_view("absent")[0]
+
+
+def test_project_store(spark, project, tmp_path, monkeypatch):
+    """Indexing makes a store of the project where none is in scope; other commands don't."""
+    root, _, _ = project
+    home = tmp_path / "home"
+    work = home / "work"
+    work.mkdir(parents=True)
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv(cf.STORE_VARIABLE, raising=False)
+    monkeypatch.chdir(work)
+    engine = Engine(spark)
+    assert engine.status()["scope"] == "global" and not (work / cf.FOLDER).exists()
+    engine.index_path(str(root))
+    assert engine.status()["scope"] == "project" and (work / cf.FOLDER / "config.json").exists() and engine.stats()["total_files"] == 3
+    assert Engine(spark).stats()["total_files"] == 3
+
+
+def test_config_on_any_file_system(spark, tmp_path):
+    """The configuration goes where the index goes, by URI."""
+    engine = Engine(spark, f"file://{tmp_path}/remote")
+    engine.ext_add("tex")
+    assert ".tex" in Engine(spark, f"file://{tmp_path}/remote").ext_list() and (tmp_path / "remote/config.json").exists()
+
+
+def test_engine_with_a_model(spark, tmp_path):
+    """An engine takes a model: 64 texts a pass, in order."""
+    passes = str(tmp_path / "passes")
+
+    def load():
+        def model(texts):
+            with open(passes, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return np.array([[len(t), 1.0, t.count("a")] for t in texts])
+
+        return model
+
+    engine = Engine(spark, str(tmp_path / "m"), embed_column=model_embedder(load), embed_query=lambda t: [len(t), 1.0, t.count("a")], model="lengths", dim=3)
+    rows = [(f"/{i}", "a" * (30 + i)) for i in range(150)]
+    engine.index_texts(spark.createDataFrame(rows, "path string, text string").coalesce(1))
+    got = {r["chunk_content"]: r["embedding"] for r in engine.store.table("vectors").join(engine.store.table("chunks"), F.col("id") == F.col("chunk_id")).collect()}
+    assert got == {t: [len(t), 1.0, len(t)] for _, t in rows}
+    sizes = [int(x) for x in open(passes).read().split()]
+    assert sum(sizes) == 150 and max(sizes) == 64 and engine.stats()["embedding_model"] == "lengths"
+    df = spark.createDataFrame([(None,), ("",), ("aa",)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(model_embedding(F.col("t"), load)).collect()] == [[0, 1, 0], [0, 1, 0], [2, 1, 2]]
+    assert df.where("false").select(model_embedding(F.col("t"), load)).count() == 0
+    with pytest.raises(Exception, match="one vector of 4"):
+        df.select(model_embedding(F.col("t"), load, 4)).collect()
 
 
 def test_legacy_import(project, tmp_path):
