@@ -17,9 +17,9 @@ from .fingerprints import (
     RUN_SCHEMA, SEVERAL, _batch, _from_planes, _in_batches, _planes, bucket_count, fingerprint_rows, hits_by_document, is_key, joined_keys, keyed, merge_rows, pack, run_bounds, run_entries, run_rows,
     unpack, window_minimizers,
 )
-from .grid import Slice, grams_hash, joined_words, plain, run_names, slices, spans_hash, trim, word_ids
+from .grid import Slice, grams_hash, joined_words, mix, plain, run_names, slices, spans_hash, trim, word_ids
 from .shared import Folder, drop_path, forget, new_path, partitions, written
-from .suffix_dedup import CUT_SCHEMA, _ranges, covered, covered_batches, range_rows
+from .suffix_dedup import CUT_SCHEMA, _ranges, covered, covered_batches, packed, range_rows, unpacked
 
 #: Words in a window, and in the grams that pick its anchor.
 LENGTH, GRAM = 50, 25
@@ -214,7 +214,7 @@ def shared_windows(candidates: DataFrame, length: int, gram: int, anchor_buckets
     that is everywhere in ever other surroundings doesn't meet in one; a window
     that several documents of a task have is sent once. ``candidates``: ``_id,
     _text, _keys`` of the documents that share anchors."""
-    buckets = bucket_count(candidates.sparkSession)
+    buckets, groups = bucket_count(candidates.sparkSession), max(1, partitions(candidates.sparkSession) // 4)
 
     def rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
         key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -257,11 +257,14 @@ def shared_windows(candidates: DataFrame, length: int, gram: int, anchor_buckets
         trim()
 
     def meet(table: pa.Table) -> pa.Table:
-        """Ranges that are known pass; the windows of the bucket meet."""
-        keys, docs, ats, out = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        """The windows of a bucket meet. Runs of windows, these and the known ones, go on in few rows: one for each
+        group of documents, not one for each document."""
+        keys, docs, ats = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        runs = [np.zeros((0, 3), np.int64)]
         for i, k, d in zip(*(table.column(c) for c in ("id", "keys", "docs")), strict=True):
             if i.is_valid:
-                out.append((i.as_py(), k.as_py()))
+                pairs = np.frombuffer(k.as_buffer(), np.int64).reshape(-1, 2)
+                runs.append(np.concatenate([np.full((len(pairs), 1), i.as_py()), pairs], 1))
                 continue
             keys.append(_from_planes(k.as_buffer()))
             doc, used = unpack(d.as_buffer(), len(keys[-1]))
@@ -273,11 +276,45 @@ def shared_windows(candidates: DataFrame, length: int, gram: int, anchor_buckets
         bounds = run_bounds(key)
         first, last = bounds[:-1], bounds[1:] - 1
         mine = np.repeat((doc[first] != doc[last]) | (doc[first] == SEVERAL), np.diff(bounds)) & (doc != SEVERAL)
-        out.extend((i, k) for _, i, k, _ in range_rows(*_ranges(doc[mine], at[mine])))
-        return pa.table({"id": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary())})
+        found = np.concatenate([*runs, np.stack(_ranges(doc[mine], at[mine]), 1)])
+        to = (mix(found[:, 0].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((found[:, 1], found[:, 0], to))
+        found, to = found[order], to[order]
+        bounds = run_bounds(to)
+        out = [(int(to[lo]), hi - lo, b"".join(pack(c) for c in found[lo:hi].T)) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "n": pa.array([r[1] for r in out], pa.int32()), "runs": pa.array([r[2] for r in out], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The runs of each document of a group."""
+        found = []
+        for n, raw in zip(table.column("n").to_pylist(), table.column("runs"), strict=True):
+            cols, at = [], 0
+            for _ in range(3):
+                col, used = unpack(raw.as_buffer()[at:], n)
+                cols.append(col)
+                at += used
+            found.append(np.stack(cols, 1))
+        rows = list(range_rows(*_joined_runs(*np.concatenate(found).T)))
+        return pa.table({"_hit": pa.array([r[1] for r in rows], pa.int64()), "_keys": pa.array([[r[2]] for r in rows], pa.list_(pa.binary()))})
 
     told = candidates.select("_id", "_text", "_keys").mapInArrow(tell, RUN_SCHEMA)
-    return hits_by_document(told.groupBy("part").applyInArrow(meet, _RANGES))
+    met = told.groupBy("part").applyInArrow(meet, "part int, n int, runs binary")
+    return met.groupBy("part").applyInArrow(gather, "_hit long, _keys array<binary>")
+
+
+def _joined_runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order of document and place, those that touch or overlap as one."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
+    # The furthest end so far of each document: a running maximum that starts anew with it.
+    step = int(last.max(initial=0)) + 2
+    nth = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) if len(doc) else doc
+    far = np.maximum.accumulate(last + nth * step) - nth * step
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > far[:-1] + 1)
+    heads = np.flatnonzero(new)
+    ends = np.append(heads[1:], len(doc)) - 1 if len(doc) else heads
+    return doc[heads], first[heads], far[ends]
 
 
 def _spans(first: np.ndarray, last: np.ndarray, base: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +352,8 @@ def compared_windows(candidates: DataFrame, length: int, buckets: int) -> DataFr
             yield doc % buckets, doc, np.array(pairs, np.int64).tobytes(), None
         for part, spans in by_part.items():
             counts = np.array([raw.count(b" ") for raw, _, _ in spans])
-            yield part, None, b"".join(raw for raw, _, _ in spans), len(spans).to_bytes(4, "little") + pack(counts) + pack(np.array([d for _, d, _ in spans])) + pack(np.array([a for _, _, a in spans]))
+            raw = b"".join(raw for raw, _, _ in spans)
+            yield part, None, len(raw).to_bytes(8, "little") + packed(raw), len(spans).to_bytes(4, "little") + pack(counts) + pack(np.array([d for _, d, _ in spans])) + pack(np.array([a for _, _, a in spans]))
 
     def tell(batches):
         held: dict[tuple, list] = {}
@@ -370,7 +408,8 @@ def compared_windows(candidates: DataFrame, length: int, buckets: int) -> DataFr
             if i.is_valid:
                 out.append((i.as_py(), k.as_py()))
                 continue
-            raws.append(k.as_buffer())
+            held = k.as_buffer()
+            raws.append(unpacked(held[8:], int.from_bytes(held[:8], "little")))
             said = d.as_buffer()
             n, used = int.from_bytes(said[:4], "little"), 4
             for col in (counts, docs, ats):
