@@ -108,9 +108,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like :func:`written`, in buckets of a column: joins by it move the other side only. To be given to :func:`forget`."""
+    spark, table = df.sparkSession, f"lodestone_{uuid.uuid4().hex}"
+    path = new_path(spark, name)
+    df.write.bucketBy(partitions(spark), column).sortBy(column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._stored, out._table = path, table
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
-    """Delete what :func:`written` wrote for these frames: nothing reads them any more."""
+    """Delete what was written for these frames: nothing reads them any more."""
     for df in frames:
+        if table := df.__dict__.pop("_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path := df.__dict__.pop("_stored", None):
             drop_path(df.sparkSession, path)
 

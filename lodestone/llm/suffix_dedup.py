@@ -27,6 +27,14 @@ FLUSH = 1 << 17
 #: Bytes of text that are handled at once; longer documents come in overlapping pieces.
 PIECE = 1 << 18
 
+def packed(raw: bytes) -> bytes:
+    """Spans move compressed: they overlap, and the shuffle's own codec is a light one."""
+    return pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def unpacked(raw: pa.Buffer, size: int) -> pa.Buffer:
+    return pa.Codec("zstd").decompress(raw, size)
+
 
 def _anchors(s: Slice, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, document, anchor place and anchor hash of every byte string of ``length``."""
@@ -203,7 +211,8 @@ def _span_rows(part: dict[str, np.ndarray], length: int, buckets: int) -> Iterat
     bounds = run_bounds(bucket)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         mine = sent[lo:hi]
-        yield int(bucket[lo]), None, part["text"][mine].tobytes(), b"".join(pack(part[k][mine]) for k in ("doc", "at", "low", "high"))
+        text = packed(part["text"][mine].tobytes())
+        yield int(bucket[lo]), None, text, len(mine).to_bytes(4, "little") + b"".join(pack(part[k][mine]) for k in ("doc", "at", "low", "high"))
 
 
 def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
@@ -246,11 +255,11 @@ def removed_ranges(candidates: DataFrame, length: int, gram: int, buckets: int)
             if i.is_valid:
                 out.append((i.as_py(), k.as_py()))
                 continue
-            text.append(np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, width))
-            cols, at = [], 0
             said = d.as_buffer()
+            n, cols, at = int.from_bytes(said[:4], "little"), [], 4
+            text.append(np.frombuffer(unpacked(k.as_buffer(), n * width), np.uint8).reshape(n, width))
             for _ in range(4):
-                col, used = unpack(said[at:], len(text[-1]))
+                col, used = unpack(said[at:], n)
                 cols.append(col)
                 at += used
             meta.append(np.stack(cols))
