@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .fingerprints import bucket_count, is_key, joined_keys, keyed, run_bounds, shared_fingerprints
 from .grid import SLICE, Slice, grams_hash, mix, plain, run_names, slices, spans_hash, trim, word_ids
-from .shared import forget, written
+from .shared import forget, written, written_by
 
 #: Words in an n-gram, and the least similarity in percent.
 N, PERCENT = 5, 80
@@ -24,6 +24,8 @@ _BLOCKS = 256
 PARTS = 32
 #: Rounds in which entries meet one pivot before all pairs across components do, and pivots of an n-gram in a round.
 ROUNDS, PIVOTS = 4, 8
+#: Pairs of a document for which its set is sent once.
+MEETINGS = 64
 #: Entries that a task gathers before it sends them.
 FLUSH = 1 << 18
 
@@ -288,14 +290,16 @@ def candidate_pairs(sets: DataFrame, percent: int, turn: int | None) -> DataFram
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Links ``a, b``: the pairs ``x, y`` whose sets reach the similarity, each compared once.
 
-    Pairs are dropped by the n-grams' hashes first; those that are left are
-    compared by their words. Both joins are plain, so one with a document of very
-    many pairs can be split."""
+    Pairs are dropped by hashes of the n-grams first; those that are left are
+    compared by their words. ``sets`` lie by id: that of x goes to the pair, once
+    for each; that of y goes once for MEETINGS pairs, so the pairs of a pivot are
+    spread, however many."""
 
     def compare(batches):
         for b in batches:
             columns = [b.column(c) for c in ("p", "q", "v", "w")]
-            likely = [i for i in range(b.num_rows) if _reaches(*(np.frombuffer(c[i].as_buffer(), np.uint64) for c in columns[:2]), percent)]
+            sizes = zip(b.column("m").to_pylist(), b.column("n").to_pylist(), strict=True)
+            likely = [i for i, size in enumerate(sizes) if _may_reach(*(np.frombuffer(c[i].as_buffer(), np.uint32) for c in columns[:2]), *size, percent)]
             keep = np.zeros(b.num_rows, bool)
             held, size = [], 0
             for i in likely:
@@ -308,15 +312,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep))
         trim()
 
-    mine = sets.select(F.col("id").alias("x"), F.col("grams").alias("p"), F.col("words").alias("v"))
-    theirs = sets.select(F.col("id").alias("y"), F.col("grams").alias("q"), F.col("words").alias("w"))
-    return pairs.join(mine, "x").join(theirs, "y").select("x", "y", "p", "q", "v", "w").mapInArrow(compare, "a long, b long").distinct()
+    many = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / MEETINGS).cast("int").alias("_m"))
+    mine = sets.select(F.col("id").alias("x"), F.col("n").alias("m"), F.col("grams").alias("p"), F.col("words").alias("v"))
+    theirs = sets.select(F.col("id").alias("y"), "n", F.col("grams").alias("q"), F.col("words").alias("w")).join(many, "y")
+    theirs = theirs.select("y", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_salt"), "n", "q", "w")
+    dealt = pairs.join(many, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("_m")).cast("int").alias("_salt"))
+    both = dealt.join(mine, "x").join(theirs, ["y", "_salt"])
+    return both.select("x", "y", "m", "n", "p", "q", "v", "w").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _reaches(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+def _may_reach(p: np.ndarray, q: np.ndarray, m: int, n: int, percent: int) -> bool:
+    """Whether sets of m and n n-grams, known by sorted hashes of 32 bits, can reach the similarity.
+
+    n-grams of one hash, if any, are all taken for shared."""
     at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-    common = int((p[at] == q).sum())
-    return 100 * common >= percent * (len(p) + len(q) - common)
+    common = int((p[at] == q).sum()) + m - len(p) + n - len(q)
+    return 100 * common >= percent * (m + n - common)
 
 
 def _same_words(pairs: list[tuple[int, pa.Buffer, pa.Buffer]], percent: int, n: int) -> Iterator[tuple[int, bool]]:
@@ -408,7 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     mine = hit[lo:hi]
                     out["id"].append(ids[s.first + i])
                     out["n"].append(int(hi - lo))
-                    out["grams"].append(np.sort(gram[lo:hi]).tobytes())
+                    out["grams"].append(np.unique((gram[lo:hi] >> np.uint64(32)).astype(np.uint32)).tobytes())
                     out["words"].append(buf[word[i] : word[i + 1]].tobytes())
                     out["tokens"].append(token[lo:hi][mine].tobytes())
                     out["places"].append(place[lo:hi][mine].astype(np.int32).tobytes())
@@ -420,9 +431,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = shared_fingerprints(rows, rare, buckets)
     hits = hits.join(copies.select(F.col("id").alias("_hit")), "_hit", "left_anti")
     found = rows.join(hits, F.col("_id") == F.col("_hit")).select("_id", "_text", "_keys")
-    sets = written(found.mapInArrow(sets_of, "id long, n long, grams binary, words binary, tokens binary, places binary, order binary, total binary"), "sets")
+    sets = written_by(found.mapInArrow(sets_of, "id long, n long, grams binary, words binary, tokens binary, places binary, order binary, total binary"), "sets", "id")
 
-    sets_narrow = sets.select("id", "n", "tokens", "places", "order", "total")
+    # Read as plain files, so that small ones share a task.
+    sets_narrow = spark.read.schema(sets.schema).parquet(sets._stored).select("id", "n", "tokens", "places", "order", "total")
     comp = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "x long, y long")
     turns: list[int | None] = [*range(ROUNDS), None]
