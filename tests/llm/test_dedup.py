@@ -282,8 +282,9 @@ def test_hashes_do_not_decide(spark, monkeypatch):
     # Sets whose hashes say that they are equal, with other words.
     from lodestone.llm.jaccard_join import verified
 
-    grams = np.arange(10, dtype=np.uint64).tobytes()
-    sets = spark.createDataFrame([(1, grams, b"a b c d e f "), (2, grams, b"a b c d e g "), (3, grams, b"a b c d e f "), (4, grams, b"a b "), (5, grams, b"a b ")], "id long, grams binary, words binary")
+    grams = np.arange(2, dtype=np.uint32).tobytes()
+    words = {1: b"a b c d e f ", 2: b"a b c d e g ", 3: b"a b c d e f ", 4: b"a b ", 5: b"a b "}
+    sets = spark.createDataFrame([(i, 2, grams, w) for i, w in words.items()], "id long, n long, grams binary, words binary")
     pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1), (5, 4)], "x long, y long")
     assert sorted(map(tuple, verified(pairs, sets, 80, 5).collect())) == [(3, 1), (5, 4)]
 
