@@ -29,7 +29,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, but for the case of A-Z, the one with the smallest id.
 
     Null and empty texts are equal; a null id loses to all others; of rows with one id and equal texts one stays."""
-    return exact_dedup(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    out, n = exact_dedup(docs, carry=docs.columns), len(docs.columns)
+    out = out.toDF(*(f"c{i}" for i in range(len(out.columns))))  # by place: documents may have columns of the same names
+    return out.where(F.col(f"c{n + 2}")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
