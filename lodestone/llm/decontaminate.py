@@ -401,7 +401,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         return docs
     found = reduce(DataFrame.union, gone).distinct()
     sha = F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
-    return docs.join(found, sha == F.col("_sha"), "left_anti")
+    return docs.join(found, sha == found["_sha"], "left_anti")
 
 
 def _told(blocks: Iterator[list[Item]]) -> Iterator[tuple[list[Item], bool]]:
