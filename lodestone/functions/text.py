@@ -85,7 +85,9 @@ def sparse_text(text: Column, pages: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case folded, Latin diacritics removed, whether in the letter or behind it."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    lower = F.lower(text)
+    # What is replaced lies beyond ASCII.
+    return F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.translate(lower, FOLD_FROM, FOLD_TO))
 
 
 def tokens(text: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -17,6 +20,9 @@ LEAST_IDF = 1e-6
 BROADCAST_TERMS = 100_000
 #: Query terms that are pushed down to written postings at most.
 PUSHED_TERMS = 10
+#: Tokens of a sorted run of postings at most, but one chunk at least; where the places of a path's tokens begin.
+RUN_TOKENS = 1 << 20
+PATH = 1 << 30
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -25,19 +31,59 @@ def phrases(query: str) -> list[list[str]]:
 
 
 def postings(chunks: DataFrame, *more: str) -> DataFrame:
-    """``chunk_id, col, pos, term, dl`` of every token of content (col 0) and path (col 1); dl counts both.
+    """``chunk_id, term, places, dl``: the places of each token of a chunk; dl counts all of them.
 
-    Write it clustered by term (:func:`write_postings`) to search without tokenising. ``more`` columns go along."""
+    Places in the content count from 0, those in the path from PATH, so tokens of
+    the two are never neighbours. ``more`` columns go along. Rows come in runs of at most
+    RUN_TOKENS tokens (but whole chunks), each sorted by term: no shuffle, no sort of a whole
+    table, and in a Parquet file the pages' statistics skip what a term can't be in."""
     rows = chunks.select(F.col("id").alias("chunk_id"), *more, tokens(F.col("chunk_content")).alias("_c"), tokens(F.col("file_path")).alias("_p"))
-    rows = rows.withColumn("dl", F.size("_c") + F.size("_p"))
-    numbered = lambda tokens, col: F.transform(tokens, lambda t, i: F.struct(F.lit(col).alias("col"), i.alias("pos"), t.alias("term")))
-    both = rows.select("chunk_id", "dl", *more, F.explode(F.concat(numbered("_c", 0), numbered("_p", 1))).alias("_t"))
-    return both.select("chunk_id", "_t.col", "_t.pos", "_t.term", "dl", *more)
+    kept = {c: rows.schema[c].dataType.simpleString() for c in ("chunk_id", *more)}
+
+    def inverted(batches):
+        for b in batches:
+            lists = [b.column(c) for c in ("_c", "_p")]
+            ends = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists))
+            at = 0
+            while at < b.num_rows:
+                upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_TOKENS, "right")), at + 1)
+                yield _run(b.slice(at, upto - at), list(kept))
+                at = upto
+
+    return rows.mapInArrow(inverted, ", ".join(["chunk_id " + kept["chunk_id"], "term string", "places array<int>", "dl int", *(f"{c} {kept[c]}" for c in more)]))
+
+
+def _run(b: pa.RecordBatch, kept: list[str]) -> pa.RecordBatch:
+    """The postings of some chunks, by term and then in the order of the chunks."""
+    words, owners, places = [], [], []
+    for c, base in (("_c", 0), ("_p", PATH)):
+        lists = b.column(c)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words.append(lists.flatten())
+        owners.append(np.repeat(np.arange(b.num_rows), sizes))
+        places.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + base)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    by_term = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    owner, place = np.concatenate(owners), np.concatenate(places).astype(np.int32)
+    key = rank[coded.indices.to_numpy()] * b.num_rows + owner
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    row = owner[order[starts]]
+    columns = {
+        "term": coded.dictionary.take(pa.array(by_term[key[starts] // max(b.num_rows, 1)])),
+        "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(place[order])),
+        "dl": pa.array(np.bincount(owner, minlength=b.num_rows)[row].astype(np.int32)),
+    }
+    first, *more = (b.column(c).take(pa.array(row)) for c in kept)
+    return pa.RecordBatch.from_arrays([first, *columns.values(), *more], [kept[0], *columns, *kept[1:]])
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
-    """Postings as Parquet, range-partitioned and sorted by term, so row-group statistics prune."""
-    postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+    """Postings as Parquet, in runs that are sorted by term, so page statistics prune."""
+    postings(chunks).write.mode("overwrite").parquet(path)
 
 
 def token_count() -> Column:
@@ -62,11 +108,16 @@ def _terms(spark: SparkSession, queries: Sequence[tuple[str, str]]) -> DataFrame
 
 
 def phrase_hits(index: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """``chunk_id, phrase, hits, dl``: places where a phrase's tokens stand next to each other."""
+    """``chunk_id, phrase, hits, dl``: places where a phrase's tokens stand next to each other.
+
+    Postings have the places of a single token already; only those of longer phrases are brought together."""
     wanted = terms.select("phrase", "off", "term", "len").distinct()
     met = index.join(F.broadcast(wanted) if small else wanted, "term")
-    starts = met.groupBy("chunk_id", "phrase", "col", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("dl").alias("dl"))
-    return starts.where("n = len").groupBy("chunk_id", "phrase").agg(F.count(F.lit(1)).alias("hits"), F.max("dl").alias("dl"))
+    single = met.where("len = 1").select("chunk_id", "phrase", F.size("places").alias("hits"), "dl")
+    shifted = F.transform("places", lambda p: p - F.col("off"))
+    longer = met.where("len > 1").groupBy("chunk_id", "phrase").agg(F.collect_list(shifted).alias("_at"), F.max("len").alias("len"), F.max("dl").alias("dl")).where(F.size("_at") == F.col("len"))
+    starts = F.aggregate(F.slice("_at", 2, F.col("len")), F.get("_at", F.lit(0)), F.array_intersect)
+    return single.unionByName(longer.select("chunk_id", "phrase", F.size(starts).alias("hits"), "dl").where("hits > 0"))
 
 
 def fts_match(chunks: DataFrame, queries: Sequence[tuple[str, str]], index: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:

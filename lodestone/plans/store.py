@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SCHEMAS = {
     "chunks": "id string, file_path string, chunk_content string, line_start int, line_end int, chunk_hash string, indexed_at timestamp, tokens int",
     "vectors": "chunk_id string, embedding array<float>",
-    "postings": "chunk_id string, col int, pos int, term string, dl int",
+    "postings": "chunk_id string, term string, places array<int>, dl int",
     "files": "path string, hash string, chunks int, indexed timestamp, size bigint, embedded boolean",
 }
 #: Columns that the store keeps beside them: tokens of a chunk, for the corpus' figures.
@@ -23,6 +23,8 @@ HIDDEN = {"chunks": ", _dl int"}
 OWNER, SEQ = "_owner", "_seq"
 #: Segments of one level that are merged into one of the next.
 FANOUT = 8
+#: Layout of stored tables; since 2 postings have a row for each term of a chunk.
+LAYOUT = 2
 #: Files younger than this are never removed: a writer may not have committed them yet.
 MIN_AGE_SECONDS = 24 * 3600
 
@@ -39,6 +41,14 @@ class Snapshot:
     #: Folders of removed files, each with its version and its tables: their rows of older versions are gone.
     removed: list[list] = field(default_factory=list)
     metadata: dict[str, str] = field(default_factory=dict)
+    #: As manifests that don't tell it have it.
+    layout: int = 1
+
+    def current(self) -> Snapshot:
+        """Itself, unless its postings lie in an older layout."""
+        if self.layout < LAYOUT and self.segments.get("postings"):
+            raise ValueError("this index was written by an older version; rebuild it with force")
+        return self
 
     def folders(self) -> set[str]:
         return {s[0] for many in self.segments.values() for s in many} | {r[0] for r in self.removed}
@@ -132,6 +142,8 @@ class Store(Files):
     def stored(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
         """A table with the columns that only the store knows."""
         at = snapshot or self.snapshot()
+        if name == "postings":
+            at.current()
         return self._stored(name, at.segments.get(name, []), at.removed)
 
     def table(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
@@ -144,12 +156,10 @@ class Store(Files):
         return Change(self, base or self.snapshot(), clear)
 
     def _write(self, rows: DataFrame, name: str) -> str:
-        """A segment; postings lie by term, so statistics of row groups skip most of them."""
+        """A segment. Postings come in runs that lie by term, so statistics of pages skip most of them."""
         folder = f"data/{name}-{uuid.uuid4().hex}"
         columns = [c.split()[0] for c in f"{SCHEMAS[name]}{HIDDEN.get(name, '')}".split(", ")]
         rows = rows.select(*columns, OWNER, F.col(SEQ).cast("int").alias(SEQ))
-        if name == "postings":
-            rows = rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
         rows.write.parquet(f"{self.root}/{folder}")
         return folder
 
@@ -160,6 +170,8 @@ class Store(Files):
         while len(tail := [s for s in segments if s[2] == segments[-1][2]]) >= FANOUT:
             last = tail[-1][1]
             rows = self._stored(name, tail, [r for r in removed if r[1] <= last]).withColumn(SEQ, F.lit(last))
+            if name == "postings":  # reading segments together mixes their runs
+                rows = rows.sortWithinPartitions("term", "chunk_id")
             segments = [s for s in segments if s not in tail] + [[self._write(rows, name), last, tail[0][2] + 1]]
         return segments
 
@@ -186,7 +198,9 @@ class Change:
     def __init__(self, store: Store, base: Snapshot, clear: bool):
         self.store, self.base = store, base
         keep = not clear
-        self.new = Snapshot(base.version + 1, {t: list(s) for t, s in base.segments.items() if keep}, list(base.removed) if keep else [], dict(base.metadata))
+        if keep:
+            base.current()
+        self.new = Snapshot(base.version + 1, {t: list(s) for t, s in base.segments.items() if keep}, list(base.removed) if keep else [], dict(base.metadata), LAYOUT)
 
     def write(self, name: str, rows: DataFrame, owner: str) -> DataFrame:
         """Add rows, each of the file that its column ``owner`` names; returns them as they are stored."""

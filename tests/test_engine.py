@@ -13,6 +13,7 @@ from lodestone import Engine
 from lodestone.functions.embed import model_embedder, model_embedding
 from lodestone.operators.fulltext import bm25
 from lodestone.plans import config as cf
+from lodestone.plans.engine import _only
 from lodestone.plans.store import Change, Conflict, Store
 from lodestone.streaming.ingest import index_stream
 
@@ -193,6 +194,33 @@ def test_stored_search_equals_fresh(project):
     assert stored == pytest.approx(plain) and len(plain) > 4
 
 
+def test_older_layout(project):
+    """Postings of an older layout are told apart, not read as others; starting anew replaces them."""
+    root, engine, _ = project
+    engine.index_path(str(root))
+    at = engine.store.snapshot()
+    name = f"manifests/{at.version}.json"
+    said = json.loads(engine.store.read_text(name))
+    del said["layout"]
+    engine.store.write_text(name, json.dumps(said))
+    with pytest.raises(ValueError, match="rebuild"):
+        engine.search("user")
+    (root / "new.md").write_text("a new file with some words\n")
+    with pytest.raises(ValueError, match="rebuild"):
+        engine.refresh()
+    engine.rebuild(force=True)
+    assert engine.search("words").count()
+
+
+def test_new_files_are_read_without_a_join(project):
+    """Where all files are new, their texts aren't moved to be joined with their names."""
+    _, engine, _ = project
+    texts = engine.spark.createDataFrame([(f"/t/{i}", f"text number {i} of some") for i in range(5)], "path string, text string")
+    assert "Join" not in _only(texts, None)._jdf.queryExecution().optimizedPlan().toString()
+    done = engine.index_texts(texts)
+    assert done["indexed"] == 5 and engine.index_texts(texts)["skipped"] == 5
+
+
 def test_crash_inside_rebuild(project, monkeypatch):
     """A rebuild that fails leaves the index as it was; one that succeeds is one version."""
     root, engine, _ = project

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.embed import hash_embed, hashing_embedding
 from lodestone.functions.text import token_list, tokens
 from lodestone.operators import hybrid
-from lodestone.operators.fulltext import bm25, bm25_topk, postings, write_postings
+from lodestone.operators.fulltext import PATH, bm25, bm25_topk, postings, write_postings
 from lodestone.operators.vector_search import knn
 
 CHUNKS = [
@@ -71,6 +71,24 @@ def test_folding_equals_fts5(spark):
     assert token_list("Cafe\u0301 ÉTÉ Ṩ ạ ſ") == ["cafe", "ete", "ṩ", "a", "s"]
 
 
+def test_postings_in_sorted_runs(spark, monkeypatch):
+    """A row for each term of a chunk, with all its places, by term in each run; nothing is shuffled."""
+    monkeypatch.setattr("lodestone.operators.fulltext.RUN_TOKENS", 30)
+    df = chunks(spark, [*CHUNKS, ("f", "/!", "..."), ("g", "/src/none.ts", None)]).coalesce(1)
+    made = postings(df, "line_start")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("ReusedExchange", "")
+    rows = made.collect()
+    got = {(r["chunk_id"], r["term"]): (sorted(r["places"]), r["dl"], r["line_start"]) for r in rows}
+    want = {}
+    for i, path, text in [*CHUNKS, ("g", "/src/none.ts", "")]:
+        words = [*enumerate(token_list(text)), *((PATH + n, t) for n, t in enumerate(token_list(path)))]
+        for at, t in words:
+            want.setdefault((i, t), ([], len(words), 1))[0].append(at)
+    assert got == want and len(rows) == len(want)
+    falls = sum(a["term"] > b["term"] for a, b in zip(rows, rows[1:], strict=False))
+    assert 0 < falls < 5
+
+
 def test_topk_and_empty(spark):
     top = bm25_topk(chunks(spark), [("q", "user")], 2).orderBy("rank").collect()
     assert [r["rank"] for r in top] == [1, 2] and top[0]["score"] <= top[1]["score"]
