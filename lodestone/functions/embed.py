@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -16,6 +17,8 @@ from .text import token_list, tokens
 DIM = 384
 #: Texts of one forward pass of a model.
 MODEL_BATCH = 64
+#: Texts that are hashed at a time, and words whose buckets a worker remembers.
+ROWS, HELD_WORDS = 512, 1 << 16
 
 Model = Callable[[list[str]], np.ndarray]
 
@@ -27,21 +30,27 @@ def hashing_embedding(text: Column, dim: int = DIM) -> Column:
     A text without tokens is a zero vector."""
     places: dict[str, int] = {}
 
+    def place(w: str) -> int:
+        at = places.get(w)
+        if at is None:
+            if len(places) >= HELD_WORDS:
+                places.clear()
+            at = places[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+        return at
+
     @F.arrow_udf("array<float>")
     def embed(words: pa.Array) -> pa.Array:
-        out = np.zeros((len(words), dim))
-        for row, mine in enumerate(words.to_pylist()):
-            for w in mine or ():
-                at = places.get(w)
-                if at is None:
-                    if len(places) > 1_000_000:
-                        places.clear()
-                    at = places[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
-                out[row, at] += 1
-        norm = np.sqrt((out * out).sum(1, keepdims=True))
-        out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
-        flat = pa.array(out.ravel(), pa.float32())
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), flat)
+        vectors = np.zeros((len(words), dim), np.float32)
+        for at in range(0, len(words), ROWS):  # distinct words are looked at once in so many texts, and only theirs are Python's
+            part = words.slice(at, ROWS)
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = part.flatten().dictionary_encode()
+            bucket = np.fromiter((place(w) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            cells = np.repeat(np.arange(len(part)) * dim, sizes) + bucket[coded.indices.to_numpy()]
+            out = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim).astype(np.float64)
+            norm = np.sqrt((out * out).sum(1, keepdims=True))
+            np.divide(out, norm, out=vectors[at : at + ROWS], where=norm > 0, casting="same_kind")
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, dim, dtype=np.int32)), pa.array(vectors.ravel(), pa.float32()))
 
     return embed(tokens(text))
 

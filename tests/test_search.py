@@ -142,6 +142,17 @@ def test_boost_and_context(spark):
     assert "score=" in hybrid.search_lines(search(spark, "the user")).first()["title"]
 
 
+def test_embedder_in_slices(spark, monkeypatch):
+    """Texts of more than one slice, with more words than are remembered, are embedded as on the driver."""
+    monkeypatch.setattr("lodestone.functions.embed.ROWS", 3)
+    monkeypatch.setattr("lodestone.functions.embed.HELD_WORDS", 4)
+    texts = [None, *(" ".join(f"w{i * j % 13}" for j in range(i)) for i in range(20))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", hashing_embedding(F.col("t"), 8).alias("e")).collect()
+    assert len(rows) == 21
+    for r in rows:
+        assert list(r["e"]) == pytest.approx(hash_embed(texts[r["i"]] or "", 8))
+
+
 def test_embedder(spark):
     rows = spark.createDataFrame([("plants turn light into sugar",), ("",), (None,)], "t string").select(hashing_embedding(F.col("t"), 64).alias("e")).collect()
     assert list(rows[0]["e"]) == pytest.approx(hash_embed("plants turn light into sugar", 64))
